@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality.SQL,
 }
