@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import linededup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
+    "op6_line_dedup": linededup.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality.SQL,
+    "op6_line_dedup": linededup.SQL,
 }
