@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality
+from . import linededup, mixing, quality, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
+    "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
+    "op9_warc": warc.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality.SQL,
+    "op5_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
+    "op9_warc": warc.SQL,
 }
