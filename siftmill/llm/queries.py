@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality, urlfilter, warc
+from . import linededup, mixing, quality, suffixes, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
     "op9_warc": warc.query,
+    "op10_suffix_dedup": suffixes.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
     "op9_warc": warc.SQL,
+    "op10_suffix_dedup": suffixes.SQL,
 }
