@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality, suffixes, urlfilter, warc
+from . import linededup, mixing, quality, setjoin, suffixes, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
     "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
+    "op7_jaccard_join": setjoin.query,
     "op9_warc": warc.query,
     "op10_suffix_dedup": suffixes.query,
 }
