@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality, setjoin, suffixes, urlfilter, warc
+from . import decontam, linededup, mixing, quality, setjoin, suffixes, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontam.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
     "op5_url_filter": urlfilter.query,
