@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, quality, setjoin, suffixes, urlfilter, warc
+from . import decontam, linededup, mixing, nbsvm, quality, setjoin, suffixes, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
     "op7_jaccard_join": setjoin.query,
+    "op8_quality_classifier": nbsvm.query,
     "op9_warc": warc.query,
     "op10_suffix_dedup": suffixes.query,
 }

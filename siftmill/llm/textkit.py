@@ -23,6 +23,8 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[ord("0") : ord("9") + 1] = _IS_WORD[ord("a") : ord("z") + 1] = _IS_WORD[128:] = True
+_KIND = np.where(np.arange(256) > 32, 2, 0).astype(np.int8)
+_KIND[_IS_WORD] = _KIND[ord("A") : ord("Z") + 1] = 1
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -91,7 +93,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def words(column: pa.Array) -> Words:
     """Cut every text of a string column into words."""
-    raw, offsets = utf8(pc.utf8_lower(column))
+    return _cut(*utf8(pc.utf8_lower(column)), _IS_WORD.astype(np.int8))
+
+
+def tokens(column: pa.Array) -> Words:
+    """Cut every text, case as it is, into runs of letters and digits and runs of other signs."""
+    return _cut(*utf8(column), _KIND)
+
+
+def _cut(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Words:
     n = len(raw)
     # a separator before every row keeps words of neighbouring rows apart
     data = np.full(n + len(offsets) - 1, 32, np.uint8)
@@ -99,10 +109,10 @@ def words(column: pa.Array) -> Words:
         keep = np.ones(len(data), bool)
         keep[offsets[:-1] + np.arange(len(offsets) - 1)] = False
         data[keep] = raw
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[data]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    kind = np.zeros(len(data) + 2, np.int8)
+    kind[1:-1] = kinds[data]
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    start, end = edge[kind[edge + 1] != 0], edge[kind[edge] != 0]
     bounds = np.append(offsets[:-1] + np.arange(len(offsets) - 1), len(data))
     return Words(data, start, end, span_hash(data, start, end), np.searchsorted(start, bounds))
 
