@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, nbsvm, quality, setjoin, suffixes, urlfilter, warc
+from . import decontam, linededup, mixing, nbsvm, quality, setjoin, suffixes, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
+    "op4_toxicity": toxicity.query,
     "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
     "op7_jaccard_join": setjoin.query,
