@@ -72,10 +72,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int64), (key >> np.uint64(BITS)).astype(np.int64)
 
 
+def _features_of(texts: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """features() of many texts, some at a time to bound the memory of the driver."""
+    parts = [features(pa.array(texts[i : i + step], pa.string())) for i in range(0, len(texts), step)]
+    return np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([row + i * step for i, (_, row) in enumerate(parts)])
+
+
 def fit(texts: list[str], y: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         raise ValueError("labelled documents of both classes are needed")
-    f, row = features(pa.array(texts, pa.string()))
+    f, row = _features_of(texts)
     good = y[row] == 1
     size = 1 << BITS
     p, q = ALPHA + np.bincount(f[good], minlength=size), ALPHA + np.bincount(f[~good], minlength=size)
@@ -92,7 +98,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     mixed[seen] = (1 - BETA) * mean + BETA * w[seen]
     model = Model(mixed * ratio, 0.0)
     # the bias separates the classes of the sample best: equal shares of each class fail
-    s = model.scores(pa.array(texts, pa.string()))
+    s = np.bincount(row, model.weights[f], len(texts)) / np.sqrt(np.maximum(np.bincount(row, minlength=len(texts)), 1))
     order = np.sort(np.unique(s))
     cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
     a, b = np.sort(s[y == 1]), np.sort(s[y == 0])
