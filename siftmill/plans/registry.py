@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import pages, text, web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pages.QUERIES, **text.QUERIES, **web.QUERIES}
+ORACLES: dict[str, str] = {**pages.ORACLES, **text.ORACLES, **web.ORACLES}
