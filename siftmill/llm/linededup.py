@@ -96,9 +96,8 @@ class Runs:
         decided = x.withColumn("dup", F.col("seen") | (rank > 1))
         decided.select("k", "t", "n", "h", "dup").write.partitionBy("dup").parquet(out)
         self.decided.append(out)
-        new = self.spark.read.parquet(out)
-        if "dup" in new.columns:
-            self.levels[0].append(self._save(new.where("NOT dup").select("h").distinct()))
+        new = self.spark.read.schema("h binary, dup boolean").parquet(out).where("NOT dup").select("h")
+        self.levels[0].append(self._save(new.distinct()))
         self._compact()
 
     def _compact(self) -> None:
