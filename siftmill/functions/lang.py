@@ -20,13 +20,16 @@ WORDS: dict[str, tuple[str, ...]] = {
 RESCALE, OVERFLOW, WEIGHT = 0.5, 709, 3
 
 
-def evidence(text: Column) -> dict[str, Column]:
-    """Counts by code: three for each stop word with spaces around it (not overlapping), one for 'und'."""
-    t = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+def padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
+def evidence(t: Column) -> dict[str, Column]:
+    """Counts by code in a padded text: three for each stop word with spaces around it (not overlapping), one for 'und'."""
 
     def hits(word: str) -> Column:
         spaced = f" {word} "
-        return ((F.length(t) - F.length(F.replace(t, F.lit(spaced), F.lit("")))) / len(spaced)).cast("int")
+        return ((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(spaced), F.lit("")))) / len(spaced.encode())).cast("int")
 
     out = {code: sum((hits(w) for w in words[1:]), hits(words[0])) * WEIGHT for code, words in WORDS.items()}
     return out | {"und": F.lit(1)}
@@ -39,15 +42,18 @@ def script_evidence(text: Column, codes: list[str]) -> dict[str, Column]:
 
 def detect(text: Column, scripts: list[str] | None = None) -> Column:
     """struct(lang, probability): the code with most evidence (alphabetically first on ties), its softmax."""
-    counts = evidence(text)
-    for code, n in (script_evidence(text, scripts or [])).items():
-        counts[code] = counts[code] + n if code in counts else n
-    codes = sorted(counts)
-    entries = F.array(*[F.struct(F.lit(c).alias("code"), counts[c].cast("int").alias("n")) for c in codes])
+
+    def entries(t: Column) -> Column:
+        counts = evidence(t)
+        for code, n in script_evidence(t, scripts or []).items():
+            counts[code] = counts[code] + n if code in counts else n
+        return F.array(*[F.struct(F.lit(c).alias("code"), counts[c].cast("int").alias("n")) for c in sorted(counts)])
+
+    # a value is bound once by transform(array(value), ...), so the text is lower-cased and scanned once for each word
     best = lambda e: F.array_max(F.transform(e, lambda x: x.n))
     total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + F.exp(x.n * RESCALE))
     return F.transform(
-        F.array(F.filter(entries, lambda x: x.n > 0)),
+        F.transform(F.array(padded(text)), lambda t: F.filter(entries(t), lambda x: x.n > 0)),
         lambda e: F.struct(
             F.filter(e, lambda x: x.n == best(e))[0].code.alias("lang"),
             F.when(best(e) > OVERFLOW, F.lit(1.0)).otherwise(F.exp(best(e) * RESCALE) / total(e)).alias("probability"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import dims, dom, ioc, lang, nlp, urls
+from siftmill.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -392,6 +393,8 @@ def articles(pages: DataFrame, options: Options | None = None) -> DataFrame:
     f = f.withColumn("language", F.coalesce(language(F.col("meta_lang"), F.col("title"), F.col("raw_body"), options.language), F.nullif("meta_lang", F.lit("")), F.lit("en")))
     for kind, column in IOC_COLUMNS.items():
         f = f.withColumn(column, ioc.matches(F.col("raw_body"), kind))
+    # the pages are parsed once; everything below reads what came out, without their HTML
+    f = cut(f)
     hrefs = F.transform("links", lambda x: x.href)
     f = f.withColumn("files", with_links(F.col("files"), F.concat("other_urls", hrefs)))
     keyed = nlp.keywords(f.select("page_id", "text", "language"), "page_id", "text", "language", options.max_keywords).join(f.select("page_id", "language"), "page_id")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import nlp, urls
 from siftmill.operators import article, source
+from siftmill.sources.shared import spread
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:

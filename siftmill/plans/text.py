@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions import dims, ioc, lang, nlp
+from siftmill.sources.shared import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def _quoted(text: str) -> str:
@@ -75,7 +76,7 @@ def ioc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ioc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ioc.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), "html", ["page_id"], types=["Domain", "Email", "URL"])
+    return ioc.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), "html", ["page_id"], types=["Domain", "Email", "URL"])
 
 
 # --- languages --------------------------------------------------------------------------
