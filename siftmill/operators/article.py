@@ -357,7 +357,7 @@ def title(tag: Column, h1: Column, meta: Column, language: Column) -> Column:
     # only the classes of languages that pages have differ from the Latin one
     special = {c: dims.language_class(c) for c in sorted(dims.languages()) if dims.language_class(c) != r"a-zA-Z0-9\s"}
     pattern = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, k in special.items() for x in (c, f"[^{k}]")]), F.coalesce(language, F.lit(""))), F.lit(r"[^a-zA-Z0-9\s]"))
-    bare = lambda x: F.lower(F.regexp_replace(x, pattern, ""))
+    bare = lambda x: F.regexp_replace(F.lower(x), pattern, "")
     ft, fh, fm = bare(t), bare(h), bare(m)
     hint = F.lower(F.regexp_replace(h, r"[^a-zA-Z0-9\ ]", ""))
     piece = F.when(F.contains(t, F.lit("|")), _split_title(t, "|", hint)).when(F.contains(t, F.lit("-")), _split_title(t, "-", hint)).when(F.contains(t, F.lit("_")), _split_title(t, "_", hint))
