@@ -25,9 +25,14 @@ def stopwords_for(lang: str | None) -> frozenset[str]:
 
 @cache
 def languages() -> dict[str, tuple[str, str]]:
-    """Code to (English name, character class or '')."""
+    """Code to (English name, character class or ''). The file has ranges as hexadecimal numbers, anything else after '='."""
+
+    def char_class(ranges: str) -> str:
+        parts = [x[1:] if x.startswith("=") else "-".join("\\u" + end for end in x.split("..")) for x in ranges.split()]
+        return f"[{''.join(parts)}]" if parts else ""
+
     rows = (line.split("\t") for line in (_DATA / "languages.tsv").read_text("utf-8").split("\n") if line)
-    return {code: (name, pattern) for code, name, pattern in rows}
+    return {code: (name, char_class(ranges)) for code, name, ranges in rows}
 
 
 @cache
@@ -80,20 +85,20 @@ TRACKING_PARAMS = frozenset(
 )
 URL_STOPWORDS = frozenset(
     _words(
-        "about author authors academy account admin advert adverts advertise archive archives bebo board boards browse career careers charts comment comments "
-        "contact contacts coupons donate developer developers download downloads edit event events facebook faq faqs feed feedback feeds flickr friendster "
-        "forum forums help howto how-to imgur info itunes jobs legal linkedin login mail map maps mobile myspace newsletter newsletters password plus "
-        "preference preferences privacy privacy-policy product products profile profiles proxy purchase register search services shop shopping signup "
-        "sitemap sitemaps site-map siteindex stop store stumbleupon subscribe subscription tag terms tickets toc twitter upload uploads vimeo "
-        "wp-admin wp-content wp-includes wp-json wp-login xmlrpc xmlrpc.php youtube"
+        "toc xmlrpc download upload feed board password subscribe youtube myspace preference mobile profile store purchase advertise browse donate "
+        "archive tag shopping search feedback facebook legal mail forum linkedin login wp-login admin wp-admin subscription stumbleupon wp-json bebo "
+        "vimeo info how-to howto map site-map sitemap xmlrpc.php help shop stop signup faq career developer friendster register newsletter twitter "
+        "flickr author imgur jobs downloads uploads feeds boards services preferences wp-includes profiles itunes archives terms forums coupons maps "
+        "sitemaps faqs careers developers newsletters authors contacts products tickets comments events charts adverts plus contact product edit "
+        "comment wp-content event account advert about siteindex privacy privacy-policy academy proxy"
     )
 )
 NOT_ARTICLE = _words("/ask /comments /from /front /hide /jobs /login /logout /newcomments /newest /news /past /show /submit /user /vote")
 ARTICLE = _words("/article /blog/ /content /entry /item?id= /news/ /p/ /post /story")
 CATEGORY_PREFIXES = _words("cat cats categories category section sections subject subjects topic topics")
 FEED_SUFFIXES = _words(
-    "/atom.xml /feed.xml /rss.xml /rss /rss/ /feed /feed/ /blog/feed /blog/rss /blog/rss.xml /blog?format=rss /blogs/news.atom /blogs/news.rss /comments/feed/ "
-    "/feed/@username /feed/publication-name /feeds/latest.xml /feeds/posts/default /feeds/posts/default?alt=rss /new/.rss /news/feed /news/feed.xml /news/rss /news/rss.xml /rss.xml?format=xml"
+    "/rss /rss/ /feed /feed/ /rss.xml /feed.xml /atom.xml /new/.rss /blog/rss /news/rss /blog/feed /news/feed "
+    "/blog/rss.xml /news/rss.xml /news/feed.xml /comments/feed/ /feed/@username /blogs/news.rss /blogs/news.atom /blog?format=rss /feeds/latest.xml /rss.xml?format=xml /feeds/posts/default /feed/publication-name /feeds/posts/default?alt=rss"
 )
 ARTICLE_TYPES = _words("asp aspx cgi htm html jhtml jsp md rhtml rst shtml xhtml")
 GOOD_PATHS = _words("article feature featured gallery media news press radio slides slideshow story v video")

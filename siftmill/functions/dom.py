@@ -261,7 +261,7 @@ def serialise(node: Node | str) -> str:
     return f"{head}{inner}</{node.tag}>"
 
 
-# --- selection ---------------------------------------------------------------------------
+# selection
 
 
 def tags(node: Node, tag: str = "", attribs: dict[str, str] | None = None, match: str = "exact") -> list[Node]:
@@ -326,7 +326,7 @@ def link_dense(node: Node) -> bool:
     return share > allowed or (words < 50 and len(links) > 2 and share > 50)
 
 
-# --- cleaning ------------------------------------------------------------------------------
+# cleaning
 
 _BAD = re.compile(
     "|".join(
@@ -396,7 +396,7 @@ def clean_whitespace(s: str) -> str:
     return "\n\n".join(x for x in (line.strip() for line in s.replace("\t", " ").split("\n")) if x)
 
 
-# --- body ----------------------------------------------------------------------------------
+# body
 
 _BOOSTS = [
     ({"tag": "article", "role": "article"}, 25), ({"itemprop": "articlebody"}, 100), ({"itemprop": "articletext"}, 40),
@@ -406,6 +406,9 @@ _BODY_CLASS = re.compile("paragraph|entry-content|article-text|article-body", re
 _PARENT2, _BOOST, _STEPS, _MIN_STOP, _MANY, _BOTTOM, _NEGATIVE, _FIVE = 0.4, 30.0, 3, 5, 15, 0.25, 40.0, 5.0
 
 
+_TEXTUAL = "p pre td article div".split()
+
+
 def _likely(node: Node) -> int:
     best = 0
     for rule, boost in _BOOSTS:
@@ -415,7 +418,7 @@ def _likely(node: Node) -> int:
 
 
 def _candidates(doc: Node) -> list[Node]:
-    nodes = [n for tag in ("p", "pre", "td", "article") for n in doc.find(tag)]
+    nodes = [n for tag in _TEXTUAL[:4] for n in doc.find(tag)]
     divs = doc.find("div")
     named = [n for word in ("articlebody", "article", "story") for key in ("id", "class") for n in divs if word in n.get(key).split()]
     named += [n for n in divs if "paragraph" in n.get("class")]
@@ -435,7 +438,7 @@ def stop_stats(s: str, stop: frozenset[str]) -> tuple[int, int]:
 def top_node(doc: Node, stop: frozenset[str]) -> Node | None:
     """The element with the highest gravity: its paragraphs' stop words, boosts for likely and neighbouring ones."""
     for n in doc.walk():
-        if n.tag in ("p", "pre", "td", "article", "div"):
+        if n.tag in _TEXTUAL:
             boost = _likely(n)
             if boost:
                 n.info["score"] = n.info.get("score", 0.0) + boost

@@ -14,6 +14,8 @@ from . import dims
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 CJK_TOKEN = r"[0-9A-Za-z_]+|[^ \n\t\r0-9A-Za-z_]"
+#: Value of a place by tenths of the text, from the first.
+POSITIONS = (0.17, 0.23, 0.14, 0.08, 0.05, 0.04, 0.06, 0.04, 0.04, 0.15)
 MEAN_SENTENCE, SUMMARY_KEYWORDS, MAX_KEYWORDS, MAX_SENTENCES, MIN_WORDS = 20, 10, 35, 5, 300
 
 
@@ -94,11 +96,10 @@ def with_title(found: DataFrame, titles: DataFrame, key: str, lang: str, k: int
 def position_score(i: Column, size: Column) -> Column:
     """Value of a sentence's place: the end points 0.1 and 1.0 belong to the step below them."""
     p = i.cast("double") / size
-    steps = [(1.0, 0.0), (0.9, 0.15), (0.8, 0.04), (0.7, 0.04), (0.6, 0.06), (0.5, 0.04), (0.4, 0.05), (0.3, 0.08), (0.2, 0.14), (0.1, 0.23)]
-    out = F.when(p > steps[0][0], steps[0][1])
-    for least, value in steps[1:]:
-        out = out.when(p > least, value)
-    return out.when(p > 0, 0.17).otherwise(0.0)
+    out = F.when(p > 1.0, 0.0)
+    for tenth in range(9, -1, -1):
+        out = out.when(p > tenth / 10, POSITIONS[tenth])
+    return out.otherwise(0.0)
 
 
 def length_score(n: Column) -> Column:

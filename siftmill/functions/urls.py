@@ -156,6 +156,10 @@ def prepare(url: Column, source: Column) -> Column:
     return F.when((source != "") & ~is_absolute(source), F.lit("")).otherwise(clean(redirect_back(F.when(is_absolute(url) | (source == ""), url).otherwise(join(source, url)))))
 
 
+#: Year, month and day as pieces of a path.
+DATED = "/[0-9]{4}(?:/[0-9]{1,2}){2}/"
+
+
 def likely_article(url: Column) -> Column:
     """By stop and good pieces of the path, a date in it, or a query."""
     p = path(url)
@@ -164,7 +168,7 @@ def likely_article(url: Column) -> Column:
         F.when(has(p, dims.NOT_ARTICLE), False)
         .when(F.contains(url, F.lit("/item?id=")), True)
         .when(has(p, dims.ARTICLE), True)
-        .when(url.rlike(r"/(\d{4})/(\d{1,2})/(\d{1,2})/"), True)
+        .when(url.rlike(DATED), True)
         .otherwise(part(url, 4) != "")
     )
 
@@ -180,7 +184,8 @@ def valid_category(u: Column, url: Column) -> Column:
     return F.coalesce(ok & F.when(F.size(kept) == 2, kept[0].isin(*dims.CATEGORY_PREFIXES)).otherwise(one), F.lit(False))
 
 
-_DATE = r"([\./\-_\s]?(19|20)\d{2})[\./\-_\s]?(([0-3]?[0-9][\./\-_\s])|(\w{3,5}[\./\-_\s]))([0-3]?[0-9]([\./\-\+\?]|$))"
+_SEP, _DAY = r"[./\-_\s]", "[0-3]?[0-9]"
+_DATE = rf"(?:{_SEP}?(?:19|20)[0-9]{{2}}){_SEP}?(?:(?:{_DAY}|\w{{3,5}}){_SEP}){_DAY}(?:[./\-+?]|$)"
 
 
 def valid_news(u: Column, url: Column) -> Column:

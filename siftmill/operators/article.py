@@ -40,8 +40,8 @@ class Options:
             raise ValueError("a language has two letters")
 
 
-AUTHOR_ATTRS = ("name", "rel", "itemprop", "class", "id", "property")
-AUTHOR_VALUES = "author byline dc.creator byl article:author article:author_name story-byline article-author parsely-author sailthru.author citation_author".split()
+AUTHOR_ATTRS = "name rel itemprop class id property".split()
+AUTHOR_VALUES = [*"author byline dc.creator byl article:author article:author_name".split(), "story-byline", "article-author", *(f"{x}author" for x in ("parsely-", "sailthru.", "citation_"))]
 AUTHOR_STOP = re.compile(r"(?i)\b(?:Opinion Writer|Senior Reporter|Reporter|Reuters|Writer|IANS|AFP|ANI|DPA|PTI|AP|By)\b", re.ASCII)
 TITLE_METAS = "dc.title og:title headline articletitle article-title parsely-title title".split()
 DATE_METAS = (
@@ -188,8 +188,11 @@ def meta_image(doc: dom.Node, url: str) -> str:
     return _resolve(url, max(found, key=lambda x: x[0])[1]) if found else ""
 
 
+_SOURCES = "src data-src data-original data-lazy-src".split()
+
+
 def image_source(n: dom.Node) -> str:
-    return next((n.get(k) for k in ("src", "data-src", "data-original", "data-lazy-src") if n.get(k)), "")
+    return next((n.get(k) for k in _SOURCES if n.get(k)), "")
 
 
 def images(doc: dom.Node, url: str) -> list[str]:
@@ -331,7 +334,7 @@ def nodes(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, NODES_DDL)
 
 
-# --- what follows the tree, as expressions ---------------------------------------------------
+# what follows the tree, as expressions
 
 
 def h1_title(h1: Column) -> Column:
@@ -426,7 +429,7 @@ def to_json(of: DataFrame, full: bool = False) -> DataFrame:
 def to_text(of: DataFrame) -> DataFrame:
     """(page_id, out): the article for people to read."""
     listed = lambda c: F.concat(F.lit("["), F.array_join(c, " "), F.lit("]"))
-    form = "Article Title: %s\nURL: %s\nAuthors: %s\nPublish Date: %s\nTop Image: %s\nMeta Description: %s\nKeywords: %s\nSummary: %s\nText: %s"
+    form = "\n".join(f"{x}: %s" for x in ("Article Title", "URL", "Authors", "Publish Date", "Top Image", "Meta Description", "Keywords", "Summary", "Text"))
     return of.select("page_id", F.format_string(form, "title", "url", listed("authors"), F.coalesce(F.col("publish_date").cast("string"), F.lit("<nil>")), "top_image", "meta_description", listed("keywords"), "summary", "text").alias("out"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions import dom, urls
+from siftmill.functions.dims import FEED_SUFFIXES
+from siftmill.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,6 @@ def feed_urls(homes: DataFrame, cats: DataFrame, options: BuildOptions | None =
     plain = cats.where(~F.contains(F.coalesce(F.try_element_at(urls.chunks(urls.path(F.col("url"))), F.lit(-1)), F.lit("")), F.lit("."))).withColumn("n", F.lit(1))
     bases = homes.select("source_url", F.col("source_url").alias("url"), F.lit(0).alias("n")).unionByName(plain)
     medium = F.when(F.contains(urls.host(F.col("url")), F.lit("medium.com")), F.array(F.concat(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.lit("/feed"), urls.path(F.col("url")))))
-    from siftmill.functions.dims import FEED_SUFFIXES
-
     ends = F.transform(F.array(*[F.lit(x) for x in FEED_SUFFIXES]), lambda e: F.concat(F.regexp_replace("url", "/+$", ""), e))
     each = bases.select("source_url", "n", "url", F.posexplode(F.concat(F.coalesce(medium, F.array().cast("array<string>")), ends)).alias("pos", "feed"))
     rank = F.row_number().over(Window.partitionBy("source_url").orderBy("n", "url", "pos"))
@@ -178,9 +178,10 @@ def build(sources: DataFrame, web: DataFrame, options: BuildOptions | None = Non
     Tasks are the workers of downloads; failed ones are dropped.
     """
     options = options or BuildOptions()
-    homes = downloaded(sources.withColumn("url", F.col("source_url")), web).drop("url")
-    cats = categories(homes, options)
-    cat_pages = downloaded(cats, web)
+    # what a download or a parse brought is used several times: computed once
+    homes = cut(downloaded(sources.withColumn("url", F.col("source_url")), web).drop("url"))
+    cats = cut(categories(homes, options))
+    cat_pages = cut(downloaded(cats, web))
     probed = downloaded(feed_urls(homes, cats, options), web, least_error=300).withColumnRenamed("html", "rss")
     linked = downloaded(linked_feeds(cat_pages), web, least_error=300).withColumnRenamed("html", "rss")
     feeds = probed.unionByName(linked).dropDuplicates(["source_url", "url"])

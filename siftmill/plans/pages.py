@@ -78,11 +78,20 @@ def page_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.page_categories(article.facts(_pages(spark, sf_dir)))
 
 
+def _homes(pages: DataFrame) -> DataFrame:
+    """(source_url, body): every host as a source; its first page stands for its home."""
+    home = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("/"))
+    return pages.groupBy(home.alias("source_url")).agg(F.min_by("html", "page_id").alias("body"))
+
+
+def source_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.categories(_homes(_pages(spark, sf_dir)).withColumnRenamed("body", "html"))
+
+
 def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every host as a source, the pages table as its web: the first page of a host stands for its home."""
+    """Article candidates of every host, with the pages table as the web."""
     pages = _pages(spark, sf_dir)
-    home = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("/"))
-    first = pages.groupBy(home.alias("source_url")).agg(F.min_by("html", "page_id").alias("body"))
+    first = _homes(pages)
     web = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("body")).union(first).select("url", F.lit(200).alias("status"), "body")
     return source.build(first.select("source_url"), web)
 
@@ -101,6 +110,7 @@ QUERIES = {
     "article_full_json": article_full_json,
     "article_report": article_report,
     "page_categories": page_categories,
+    "source_categories": source_categories,
     "source_candidates": source_candidates,
 }
 
@@ -117,4 +127,8 @@ ORACLES = {
     "page_links": f"WITH {_ANCHORS} SELECT page_id, pos, href, text FROM (SELECT *, lag(href) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM l) WHERE before IS NULL OR before <> href",
     "page_links_distinct": f"WITH {_ANCHORS} SELECT page_id, count(DISTINCT href) AS n_links FROM l GROUP BY page_id",
     "page_tags": f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(p|a|li|div|article|h1|br|nav|footer|title)[ >]', 1)) AS tag FROM (SELECT page_id, {_BODY} AS html FROM pages) UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '<(script|style)[ >]', 1)) FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL",
+    # hrefs of these pages are a slash and one word
+    "source_categories": f"""WITH h AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' AS source_url, arg_min(html, page_id) AS html FROM pages GROUP BY 1),
+      a AS (SELECT source_url, unnest(regexp_extract_all({_BODY}, '<a href="/([^"]*)">', 1)) AS w FROM h)
+      SELECT DISTINCT source_url, source_url || replace(w, '&amp;', '&') AS url FROM a WHERE strlen(replace(w, '&amp;', '&')) BETWEEN 2 AND 19 AND NOT starts_with(w, '_') AND NOT regexp_matches(w, '[?#/]')""",
 }

@@ -17,7 +17,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-# --- indicators -------------------------------------------------------------------------
+# indicators
 
 
 def ioc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def ioc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ioc.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), "html", ["page_id"], types=["Domain", "Email", "URL"])
 
 
-# --- languages --------------------------------------------------------------------------
+# languages
 
 
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def _evidence_sql() -> str:
       d AS (SELECT doc_id, labelled, min(code) AS lang, any_value(CASE WHEN best > {lang.OVERFLOW} THEN 1.0 ELSE exp(best * 0.5) / total END) AS probability FROM s WHERE n = best GROUP BY doc_id, labelled)"""
 
 
-# --- tokens, sentences, keywords, summaries -----------------------------------------------
+# tokens, sentences, keywords, summaries
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _keywords_sql(k: int) -> str:
 
 
 _SENTENCES_SQL = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g')), lambda x: strlen(x) > 10)"
-_POSITION_SQL = "CASE " + " ".join(f"WHEN p > {a} THEN {b}" for a, b in [(1.0, 0.0), (0.9, 0.15), (0.8, 0.04), (0.7, 0.04), (0.6, 0.06), (0.5, 0.04), (0.4, 0.05), (0.3, 0.08), (0.2, 0.14), (0.1, 0.23), (0.0, 0.17)]) + " ELSE 0.0 END"
+_POSITION_SQL = "CASE WHEN p > 1.0 THEN 0.0 " + " ".join(f"WHEN p > {i / 10} THEN {nlp.POSITIONS[i]}" for i in range(9, -1, -1)) + " ELSE 0.0 END"
 _SCORES_SQL = f"""{_keywords_sql(nlp.SUMMARY_KEYWORDS)},
   base AS (SELECT doc_id, lang, string_split(text, chr(10))[1] AS title, text FROM documents),
   pieces AS (SELECT doc_id, lang, len(s) AS n, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM (SELECT doc_id, lang, {_SENTENCES_SQL} AS s FROM base)),

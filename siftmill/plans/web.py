@@ -110,7 +110,7 @@ def _any(c: str, words) -> str:  # noqa: ANN001
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-_LIKELY = f"CASE WHEN {_any('path', dims.NOT_ARTICLE)} THEN false WHEN contains(url, '/item?id=') THEN true WHEN {_any('path', dims.ARTICLE)} THEN true WHEN regexp_matches(url, '/(\\d{{4}})/(\\d{{1,2}})/(\\d{{1,2}})/') THEN true ELSE raw_query <> '' END"
+_LIKELY = f"CASE WHEN {_any('path', dims.NOT_ARTICLE)} THEN false WHEN contains(url, '/item?id=') THEN true WHEN {_any('path', dims.ARTICLE)} THEN true WHEN regexp_matches(url, '{urls.DATED}') THEN true ELSE raw_query <> '' END"
 _NEWS = f"""SELECT page_id, CASE
     WHEN NOT regexp_matches(url, 'https?://') OR NOT starts_with(path, '/') THEN false
     WHEN len(c) > 0 AND file_type <> '' AND NOT known THEN false
