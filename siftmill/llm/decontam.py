@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. All word n-grams of the benchmark's items are looked up in every document in one
-   scan. What a document shares with an item leaves the scan as a passage: the words
-   around a cluster of common n-grams, wide enough for any alignment through them.
-2. Document frequencies of the n-grams come from those hits, so over the whole corpus.
-   The seeds of an item are its rarest n-grams: those whose frequency is at most that of
-   the item's ``RARE`` quantile, ties included. An item leaked a thousand times has seeds too.
-3. Passages with a seed are aligned to their item, word by word, by Smith-Waterman
-   (match 2, mismatch and gap -1), vectorised over passages. The score is divided by
-   that of the item with itself; from ``LEAK`` on it is a leak. Edited, shortened and
-   interleaved copies keep most of their score.
+"""Benchmark decontamination: word pairs as seeds, a lossless count, Smith-Waterman alignment.
+
+1. Every alignment of a document with an item (match 2, mismatch and gap -1) is a chain of
+   matched words. A step to the next matched word that takes p words in the item and q in
+   the text costs max(p, q) - 1, so a chain of score S has steps that cost 0 or 1 (p and q
+   at most 2) of which, counted 2 and 1, there are S - 2 or more, within 3 m - S words of the
+   text (m: words of the item). The pairs of words one and two apart in the items are looked
+   up in every document in one scan; each place counts 2 or 1 for the items that have its pair.
+2. A passage is what lies around places from which on the count is enough for a score of
+   ``LEAK``. Nothing that aligns well enough can be without; how often an item or a pair
+   stands in the corpus makes no difference.
+3. All passages are aligned to their item, word by word, vectorised over passages. The
+   score is divided by that of the item with itself; from ``LEAK`` on it is a leak. Edited,
+   shortened and interleaved copies keep most of their score.
 
 The benchmark is taken to the tasks as a table of hashes, of ``SHARD_WORDS`` words at
 most: a larger one is handled in shards, one scan each.
@@ -19,7 +21,8 @@ that share an id count as one, with the best of their scores. Rows with a null d
 can't be reported and are left out (``clean`` keeps them); null and empty texts match
 nothing. Rows that share a doc_id are reported once with the best score; on ties the
 earliest start. Texts of any length are scanned whole; a leak counts wherever it stands.
-An empty corpus or benchmark gives an empty result. Other columns are ignored.
+One matched word alone is never a leak. An empty corpus or benchmark gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,93 +36,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import chunks, cut, documents, known
+from .common import chunks, documents, known
 
-N, RARE, LEAK = 3, 0.7, 0.5
+N, LEAK = 3, 0.5
 MATCH, MISS, GAP = 2, -1, 1
 SHARD_WORDS = 2_000_000
 _WIDE = np.int64(1 << 32)
 
 
+def _pairs(w: textkit.Words, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word with the one so many words on, and whether that lies in its row."""
+    size = len(w.hash)
+    out = np.zeros(size, np.uint64)
+    out[: max(size - apart, 0)] = textkit.mix(w.hash[: max(size - apart, 0)] * np.uint64(0xD6E8FEB86659FD93) + w.hash[apart:])
+    return out, np.repeat(w.first[1:], np.diff(w.first)) - np.arange(size) > apart
+
+
 @dataclass
 class Items:
-    """A shard of the benchmark: words of its items, and where each n-gram stands."""
+    """A shard of the benchmark: words of its items, and which items have each pair of words."""
 
     ids: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    grams: np.ndarray
-    post: np.ndarray  # of gram g: item[post[g]:post[g + 1]]
+    grams: np.ndarray  # hashes of the pairs
+    post: np.ndarray  # of pair g: item[post[g]:post[g + 1]]
     item: np.ndarray
-    seen: np.ndarray  # 2 ** 20 flags by the grams' low bits
+    near: np.ndarray  # of the postings: do the words stand next to each other?
+    seen: np.ndarray  # 2 ** 20 flags by the pairs' low bits
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str], n: int) -> Items:
         w = textkit.words(pa.array(texts, pa.string()))
-        g, ok = textkit.grams(w, n)
-        grams, which = np.unique(g[ok], return_inverse=True)
-        item = w.doc()[ok]
-        pairs = np.unique(which.astype(np.int64) * max(len(ids), 1) + item)
+        long = np.repeat(np.diff(w.first) >= n, np.diff(w.first))
+        (one, ok1), (two, ok2) = _pairs(w, 1), _pairs(w, 2)
+        ok1, ok2 = ok1 & long, ok2 & long
+        grams, which = np.unique(np.concatenate([one[ok1], two[ok2]]), return_inverse=True)
+        item = np.concatenate([w.doc()[ok1], w.doc()[ok2]])
+        pairs, at = np.unique(which.astype(np.int64) * max(len(ids), 1) + item, return_index=True)  # the first of each, so adjacent ones if any
         gram, item = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
         seen = np.zeros(1 << 20, bool)
         seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(np.array(ids, np.int64), _fold(w.hash), w.first, grams, np.searchsorted(gram, np.arange(len(grams) + 1)), item, seen)
+        return cls(np.array(ids, np.int64), _fold(w.hash), w.first, grams, np.searchsorted(gram, np.arange(len(grams) + 1)), item, at < ok1.sum(), seen)
 
     def find(self, g: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, grams) of the n-grams that the items have."""
+        """(places, postings) of the pairs that the items have, one for each item."""
         at = np.flatnonzero(ok & self.seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
         same = self.grams[k] == g[at]
-        return at[same], k[same]
-
-    def rare(self, df: np.ndarray, quantile: float) -> np.ndarray:
-        """Flags for (gram, item) postings: is the gram a seed of the item?"""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.post))
-        out = np.zeros(len(self.item), bool)
-        order = np.lexsort((df[gram], self.item))
-        edge = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if a < b:
-                mine = order[a:b]
-                values = df[gram[mine]]
-                out[mine] = values <= values[int(np.ceil(quantile * len(mine))) - 1]
-        return out
+        at, k = at[same], k[same]
+        many = self.post[k + 1] - self.post[k]
+        return np.repeat(at, many), np.arange(many.sum()) + np.repeat(self.post[k] - (np.cumsum(many) - many), many)
 
 
 def _fold(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-_PASSAGE = "doc_id long, item int, start long, words binary, grams array<int>"
-
-
-def _passages(batches: Iterator[pa.RecordBatch], items: Items, n: int) -> Iterator[pa.RecordBatch]:
-    lengths = np.diff(items.first)
-    for batch in chunks(batches):
-        w = textkit.words(batch.column("text"))
-        at, gram = items.find(*textkit.grams(w, n))
-        if not len(at):
-            continue
-        # one row for each n-gram in a text and item that has it
-        many = items.post[gram + 1] - items.post[gram]
-        place, gram = np.repeat(at, many), np.repeat(gram, many)
-        item = items.item[np.arange(len(place)) + np.repeat(items.post[gram[np.cumsum(many) - many]] - (np.cumsum(many) - many), many)]
-        row = np.searchsorted(w.first, place, "right") - 1
-        order = np.lexsort((place, item, row))
-        place, gram, item, row = place[order], gram[order], item[order], row[order]
-        reach = lengths[item] + 8
-        new = np.ones(len(place), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[1:])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(place))
-        lo = np.maximum(place[begin] - reach[begin], w.first[row[begin]])
-        hi = np.minimum(place[end - 1] + n + reach[begin], w.first[row[begin] + 1])
-        folded = _fold(w.hash)
-        ids = batch.column("doc_id").to_numpy()[row[begin]]
-        yield pa.record_batch(
-            [pa.array(ids), pa.array(item[begin].astype(np.int32)), pa.array(lo - w.first[row[begin]]), pa.array([folded[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(begin, len(place)).astype(np.int32)), pa.array(gram.astype(np.int32)))],
-            ["doc_id", "item", "start", "words", "grams"],
-        )
+def passages(w: textkit.Words, items: Items, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, begin, end) in words of the batch: no alignment with a share of ``least`` or more lies elsewhere."""
+    (p1, o1), (p2, o2) = items.find(*_pairs(w, 1)), items.find(*_pairs(w, 2))
+    place, item = np.concatenate([p1, p2]).astype(np.int64), items.item[np.concatenate([o1, o2])]
+    single = np.concatenate([~items.near[o1], np.ones(len(o2), bool)])
+    size = np.int64(len(w.hash) + 1)
+    key = np.sort((item * size + place) * 2 + single)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] >> 1 != key[:-1] >> 1
+    key = key[new]
+    weight, key = 2 - (key & 1), key >> 1
+    item, place = key // size, key % size
+    lengths = np.diff(items.first)[item]
+    score = np.ceil(MATCH * least * lengths - 1e-9).astype(np.int64)
+    span = 3 * lengths - score
+    row = np.searchsorted(w.first, place, "right") - 1
+    total = np.append(0, np.cumsum(weight))
+    upto = np.searchsorted(key, item * size + np.minimum(place + span, w.first[row + 1]))
+    enough = np.flatnonzero(total[upto] - total[:-1] >= np.maximum(score - 2, 1))
+    item, place, row, span = item[enough], place[enough], row[enough], span[enough]
+    lo, hi = np.maximum(place - span, w.first[row]), np.minimum(place + span, w.first[row + 1])
+    new = np.ones(len(place), bool)
+    new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    return item[begin], lo[begin], hi[np.append(begin[1:], len(place)) - 1] if len(place) else hi
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,37 +145,29 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best >> 32, best & (_WIDE - 1), end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], items: Items, seeds: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    gram_of = np.repeat(np.arange(len(items.grams)), np.diff(items.post))
-    seed_pairs = np.sort(gram_of[seeds].astype(np.int64) * len(items.ids) + items.item[seeds])
-    for batch in batches:
-        lists, item = batch.column("grams"), batch.column("item").to_numpy().astype(np.int64)
-        ends = lists.offsets.to_numpy()
-        gram = lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64)
-        ends = ends - ends[0]
-        pair = gram * len(items.ids) + np.repeat(item, np.diff(ends))
-        has = np.zeros(batch.num_rows, bool)
-        if len(seed_pairs) and len(pair):
-            hit = seed_pairs[np.minimum(np.searchsorted(seed_pairs, pair), len(seed_pairs) - 1)] == pair
-            has[np.repeat(np.arange(batch.num_rows), np.diff(ends))[hit]] = True
-        rows = np.flatnonzero(has)
-        raw, start, ids = batch.column("words"), batch.column("start").to_numpy(), batch.column("doc_id").to_numpy()
-        texts = {i: np.frombuffer(raw[i].as_py(), np.uint32) for i in rows.tolist()}
-        order = sorted(texts, key=lambda i: len(texts[i]))
+def _leaks(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    lengths = np.diff(items.first)
+    for batch in chunks(batches):
+        w = textkit.words(batch.column("text"))
+        item, lo, hi = passages(w, items, least)
+        folded, ids = _fold(w.hash), batch.column("doc_id").to_numpy()
+        row = np.searchsorted(w.first, lo, "right") - 1
+        size = hi - lo
+        order = np.argsort(size, kind="stable")
         at = 0
         while at < len(order):  # passages of about one length together; cells in memory are bounded
-            take, wide = 1, len(texts[order[at]])
-            while at + take < len(order) and take < 512 and (take + 1) * len(texts[order[at + take]]) <= 400_000 and len(texts[order[at + take]]) <= 1.3 * wide + 16:
+            take, wide = 1, size[order[at]]
+            while at + take < len(order) and take < 512 and (take + 1) * size[order[at + take]] <= 400_000 and size[order[at + take]] <= 1.3 * wide + 16:
                 take += 1
             part = order[at : at + take]
             at += take
-            its = [items.words[items.first[item[i]] : items.first[item[i] + 1]] for i in part]
-            score, begin, end = align(its, [texts[i] for i in part])
-            share = score / (MATCH * np.array([len(x) for x in its]))
+            score, begin, end = align([items.words[items.first[i] : items.first[i + 1]] for i in item[part]], [folded[a:b] for a, b in zip(lo[part], hi[part], strict=True)])
+            share = score / (MATCH * lengths[item[part]])
             keep = np.flatnonzero(share >= least)
             if len(keep):
-                chosen = np.array(part)[keep]
-                yield pa.record_batch([pa.array(ids[chosen]), pa.array(items.ids[item[chosen]]), pa.array(share[keep]), pa.array(start[chosen] + begin[keep]), pa.array(start[chosen] + end[keep])], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                chosen = part[keep]
+                start = lo[chosen] - w.first[row[chosen]]
+                yield pa.record_batch([pa.array(ids[row[chosen]]), pa.array(items.ids[item[chosen]]), pa.array(share[keep]), pa.array(start + begin[keep]), pa.array(start + end[keep])], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
 
 def _shards(benchmark: DataFrame, words: int) -> list[DataFrame]:
@@ -187,7 +177,7 @@ def _shards(benchmark: DataFrame, words: int) -> list[DataFrame]:
     return [items] if shards == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == i) for i in range(shards)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, least: float = LEAK, shard_words: int = SHARD_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): documents that hold benchmark items, with the best alignment."""
     spark = docs.sparkSession
     docs = known(docs)
@@ -198,12 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE,
         if not len(items.grams):
             continue
         sent = spark.sparkContext.broadcast(items)
-        passages = cut(docs.mapInArrow(lambda it, sent=sent: _passages(it, sent.value, n), _PASSAGE))
-        counts = passages.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).collect()
-        df = np.zeros(len(items.grams), np.int64)
-        df[[r["gram"] for r in counts]] = [r["df"] for r in counts]
-        seeds = items.rare(df, rare)
-        found = passages.mapInArrow(lambda it, sent=sent, seeds=seeds: _aligned(it, sent.value, seeds, least), "doc_id long, item_id long, score double, start_word long, end_word long")
+        found = docs.mapInArrow(lambda it, sent=sent: _leaks(it, sent.value, least), "doc_id long, item_id long, score double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")

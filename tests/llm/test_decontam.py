@@ -78,3 +78,27 @@ def test_clean(spark):
     assert out.columns == a.columns and not {200, 201, 203, 300} & set(kept)
     assert {40, 41, 50, 400} <= set(kept) and kept.count(None) == 2 and kept.count(30) == 2
     assert decontam.clean(a, b.limit(0)).count() == a.count() and decontam.leaks(a.limit(0), b).count() == 0
+
+
+def test_thinly_kept_copies(spark):
+    """Copies that keep few or no runs of three words: each the only copy, and beside exact ones."""
+    forms = [
+        lambda w: [x if i % 4 != 3 else f"other{i}" for i, x in enumerate(w)],
+        lambda w: [x if i % 3 != 2 else f"other{i}" for i, x in enumerate(w)],
+        lambda w: [y for i, x in enumerate(w) for y in (x, f"other{i}")],
+        lambda w: [x for i, x in enumerate(w) if i % 4 != 3],
+        *[lambda w, s=s: edited(" ".join(w), 0.25 + 0.05 * (s % 2), s).split(" ") for s in range(6)],
+    ]
+    items = [(i, prose(6000 + i, 30, 50)) for i in range(2 * len(forms))]
+    docs = [(i, f"{prose(6100 + i, 40)} {' '.join(forms[i // 2](t.split(' ')))} {prose(6200 + i, 40)}", "en", "s", 1) for i, t in items]
+    docs += [(100 + i, f"{prose(6300 + i, 20)} {t}", "en", "s", 1) for i, t in items[1::2]]
+    docs += [(200 + i, prose(6400 + i, 300), "en", "s", 1) for i in range(5)]
+    want = {}
+    for d, text, *_ in docs:
+        for i, item in items:
+            score = smith_waterman(words(item), words(text)) / (decontam.MATCH * len(words(item)))
+            if score >= decontam.LEAK:
+                want[d, i] = round(score, 9)
+    got = decontam.leaks(frame(spark, docs), spark.createDataFrame([(*i, "own") for i in items], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in got} == want
+    assert {(i, i) for i in range(6)} <= set(want)
