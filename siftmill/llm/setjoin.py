@@ -10,7 +10,8 @@ two sets share with probability J); what is still large then are sets alike, and
 they are compared block by block, all of them.
 
 Comparison is in two steps: the sketches drop pairs that are far below the threshold
-(estimates more than ``SLACK``, over three standard deviations, below it), and the exact
+(estimates more than ``SIGMAS`` standard deviations below it, which depend on how many
+grams fill the bins; pairs of about 30 grams or fewer are never dropped), and the exact
 Jaccard of the sets decides about the others. Runs are repeated until the recall,
 estimated from how many runs found each pair (Chao's estimate of those never
 found), reaches the target.
@@ -41,7 +42,7 @@ from . import textkit
 from .common import chunks, cut, documents, known, runs_of
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.98
-BINS, LIMIT, DEPTH, SLACK = 128, 1000, 3, 0.15
+BINS, LIMIT, DEPTH, SIGMAS = 128, 1000, 3, 5.0
 #: Runs are told apart by the lowest bits of a path.
 RUN_BITS = 6
 
@@ -153,11 +154,12 @@ def _near(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, size: np.ndarray, th
     keep = np.flatnonzero(small >= threshold * large)
     a, b = a[keep], b[keep]
     out = np.zeros(len(keep), bool)
-    least = threshold - SLACK
-    least = BINS * (least + (1 - least) / 256)
+    # few grams leave bins empty, which borrow: then the grams count, not the bins
+    least = threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) * (1 / (large[keep] + 1) + 1 / BINS))
+    least = np.where(least > 0, BINS * (least + (1 - least) / 256), 0)
     for i in range(0, len(keep), 1 << 15):
         j = slice(i, i + (1 << 15))
-        out[j] = np.count_nonzero(sketch[a[j]] == sketch[b[j]], axis=1) >= least
+        out[j] = np.count_nonzero(sketch[a[j]] == sketch[b[j]], axis=1) >= least[j]
     return keep[out]
 
 

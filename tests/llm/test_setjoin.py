@@ -52,6 +52,31 @@ def test_recall_and_precision_against_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_recall_on_short_documents(spark):
+    """Pairs of few grams, a third of them or fewer changed at one end."""
+    docs = []
+    for k in range(600):
+        size = 4 + k % 20
+        words = [f"w{k}x{i}" for i in range(size + 2)]
+        cut = max(1, size // 3)
+        docs += [(2 * k, " ".join(words), "en", "s", 1), (2 * k + 1, " ".join([*words[:-cut], *(f"v{k}x{i}" for i in range(cut))]), "en", "s", 1)]
+    want = brute(docs)
+    got = expanded(setjoin.joined(frame(spark, docs)).collect())
+    assert len(want) == 600 and not set(got) - set(want) and len(got) >= 0.97 * len(want)
+
+
+def test_sketches_drop_no_pair_at_the_threshold():
+    rng = np.random.default_rng(7)
+    for size in (3, 6, 9, 15, 30, 60, 120, 240, 480, 960):
+        count = 400
+        own = size // 4
+        whole = rng.integers(0, 2**64, (count, size + own), dtype=np.uint64)
+        g = np.sort(np.concatenate([whole[:, :size], whole[:, own:]]), axis=1)
+        sketch = setjoin._sketch(g.ravel(), np.repeat(np.arange(2 * count), size), 2 * count)
+        a = np.arange(count)
+        assert len(setjoin._near(a, a + count, sketch, np.full(2 * count, size), (size - own) / (size + own))) == count
+
+
 def test_large_buckets_are_split_and_still_complete(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "LIMIT", 4)
     docs = corpus()
