@@ -85,6 +85,20 @@ def test_large_buckets_are_split_and_still_complete(spark, monkeypatch):
     assert not set(got) - set(want) and len(set(got) & set(want)) >= 0.9 * len(want)
 
 
+def test_every_large_bucket_is_split_somewhere():
+    paths = np.arange(64, 64 * 501, 64)
+    batch = pa.record_batch([pa.array(paths), pa.array(paths), pa.array(np.full(500, 9, np.int32)), pa.array([bytes(setjoin.BINS)] * 500, pa.binary())], ["path", "doc_id", "size", "sketch"])
+    for level in range(setjoin.DEPTH):
+        out = pa.Table.from_batches(setjoin._split(iter([batch]), 0.5, level))
+        assert set(out.column("doc_id").to_pylist()) == set(paths.tolist())
+
+
+def test_recall_of_split_buckets_counts_by_itself(spark):
+    rows = [(i, i + 1, 0.5, 15, False) for i in range(5000)] + [(i, i + 2, 0.5, 1 << i % 4, True) for i in range(20)]
+    assert setjoin._estimate(spark.createDataFrame(rows, "a long, b long, jaccard double, runs long, split boolean")) < 0.5
+    assert setjoin._estimate(spark.createDataFrame(rows[:5000], "a long, b long, jaccard double, runs long, split boolean")) == 1
+
+
 def test_sketches_estimate_jaccard():
     base = prose(1, 400)
     g, row = setjoin.gram_sets(pa.array([base, edited(base, 0.1, 2), prose(2, 400)]), 3)
