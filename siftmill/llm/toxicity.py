@@ -20,7 +20,8 @@ labelled documents of each class; the sentences of all documents are scored.
 Defined results: a sentence ends at a line end or after ``.``, ``!`` or ``?`` before white
 space; its score is that of its highest window, and it is toxic above 0. Rows come back for
 documents with toxic sentences only (``score`` is the highest, ``sentence`` the first
-that has it). A null or empty text has no window; a text of fewer than K letters has none
+that has it). Insults with a letter inserted after each of their letters are not looked for: four
+of them then span 7, more than ``SPAN``. A null or empty text has no window; a text of fewer than K letters has none
 that can score. Repeated rows are each reported, a null doc_id stays null. Texts are read
 whole. Letters beyond a to z fall into five classes. Other columns are ignored. Without
 labelled documents of both classes: ValueError.
