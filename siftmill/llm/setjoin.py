@@ -5,9 +5,13 @@ grams (each with probability 1 / (threshold * size), by a hash that all sets sha
 sets that chose the same gram meet in a bucket. Two sets of Jaccard J >= threshold meet
 with probability 1 - exp(-J / threshold) or more in each run. Buckets of up to ``LIMIT``
 sets are compared by brute force. Larger ones are split again, up to ``DEPTH`` times, on
-sampled elements of the sets' sketches (one-permutation minwise hashes: positions that
-two sets share with probability J); what is still large then are sets alike, and
-they are compared block by block, all of them.
+sampled shared grams: of the sets' sketches (the least gram of each of ``BINS`` ranges of
+hashes, which two sets share with probability J) each set takes ``RATE`` / threshold, so
+that a pair at the threshold shares ``RATE`` of them and is lost by a split with
+probability exp(-RATE). A large bucket whose sets are alike (two of them share a
+sketched gram with probability ``ALIKE`` or more) can't be split to any purpose: its sets
+are dealt to blocks of ``LIMIT / 2``, and every two blocks are a bucket of their own, so
+that all pairs are compared and no task holds more than one such bucket.
 
 Comparison is in two steps: the sketches drop pairs that are far below the threshold
 (estimates more than ``SIGMAS`` standard deviations below it, which depend on how many
@@ -17,16 +21,16 @@ estimated from how many runs found each pair (Chao's estimate of those never
 found), reaches the target, for all pairs and for those that met in split buckets only.
 Where ``2 ** RUN_BITS`` runs don't reach it, that is an error.
 
-Documents with one and the same set are collapsed before the join and come back as lists,
-so a group of thousands of copies costs what one document costs.
+Documents with one and the same set are collapsed before the join, so a group of
+thousands of copies costs what one document costs.
 
 Defined results: a document of fewer than n words has one gram, all its words; one
 without words (null, empty, punctuation only) has no set and no partners. Rows that
 share a doc_id are one document, with the text that sorts last;
 rows with a null doc_id are left out, as they can't be reported (``one_of_each``
 keeps them). Texts of any length are taken whole. An empty table gives an empty result.
-Other columns are ignored. Ties do not arise: every pair at or above the threshold is
-reported. The exact step compares grams by 32 bits of their hashes.
+Other columns are ignored. Ties do not arise: every pair at or above the threshold
+counts. The exact step compares grams by 32 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -43,7 +47,11 @@ from . import textkit
 from .common import chunks, cut, documents, known, runs_of
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.98
-BINS, LIMIT, DEPTH, SIGMAS = 128, 1000, 3, 5.0
+BINS, LIMIT, DEPTH, SIGMAS = 64, 1000, 3, 5.0
+#: Shared grams that a pair at the threshold has at a split; likeness from which a bucket is not split.
+RATE, ALIKE = 2.0, 0.25
+#: Large buckets of which the list may be broadcast; more are joined by shuffling.
+BROADCAST_PATHS = 50_000
 #: Runs are told apart by the lowest bits of a path; the next bit is set in split buckets.
 RUN_BITS = 6
 _SPLIT = 1 << RUN_BITS
@@ -141,7 +149,7 @@ def _split(batches: Iterator[pa.RecordBatch], threshold: float, level: int) -> I
         path = table.column("path").to_numpy().view(np.uint64)
         place = textkit.mix((path ^ salt)[:, None] + np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         # a bucket whose every position is left out takes its least
-        chosen = (place < _limits(np.array([1 / (threshold * BINS)]))[0]) | (place == place.min(axis=1, keepdims=True))
+        chosen = (place < _limits(np.array([RATE / (threshold * BINS)]))[0]) | (place == place.min(axis=1, keepdims=True))
         r, i = np.nonzero(chosen)
         value = _sketches(table)[r, i].astype(np.uint64)
         low = np.uint64((1 << RUN_BITS) - 1)
@@ -166,9 +174,12 @@ def _near(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, size: np.ndarray, th
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, path) of the pairs in each bucket that pass the sketches; buckets are whole and together."""
+    """(a, b, path) of the pairs in each bucket that pass the sketches; buckets are whole and together.
+
+    Rows of side 1 are compared with those of side 2 only, rows of side 0 with one another.
+    """
     for table in runs_of(batches, "path"):
-        path, doc, size = (table.column(c).to_numpy() for c in ("path", "doc_id", "size"))
+        path, doc, size, side = (table.column(c).to_numpy() for c in ("path", "doc_id", "size", "side"))
         new = np.ones(len(path), bool)
         new[1:] = path[1:] != path[:-1]
         first = np.flatnonzero(new)
@@ -184,8 +195,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
             if len(keep):
                 out.append((a[keep], b[keep]))
 
-        for m in np.unique(many[many > 1]).tolist():
-            starts = first[many == m]
+        sided = side[first] > 0
+        for m in np.unique(many[(many > 1) & ~sided]).tolist():
+            starts = first[(many == m) & ~sided]
             if m <= 128:
                 i, j = np.triu_indices(m, 1)
                 for k in range(0, len(starts), max(1, (1 << 20) // len(i))):
@@ -198,6 +210,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                         a, b = np.repeat(i, m - k), np.tile(np.arange(k, m), len(i))
                         later = a < b
                         compare(s + a[later], s + b[later])
+        for s, m in zip(first[sided].tolist(), many[sided].tolist(), strict=True):
+            one, two = s + np.flatnonzero(side[s : s + m] == 1), s + np.flatnonzero(side[s : s + m] == 2)
+            for k in range(0, len(one) if len(two) else 0, 256):
+                compare(np.repeat(one[k : k + 256], len(two)), np.tile(two, len(one[k : k + 256])))
         if out:
             a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
             yield pa.record_batch([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b])), pa.array(path[a])], ["a", "b", "path"])
@@ -244,20 +260,53 @@ def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         yield pa.record_batch([pa.array(path, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.array(grams, pa.binary())], ["path", "a", "b", "runs", "split", "grams"])
 
 
+def _large(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of small buckets, those of large ones with n, the sets there, and ``alike``); None if all are small."""
+    counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT))
+    many = counts.count()
+    if not many:
+        return None
+    join = F.broadcast if many <= BROADCAST_PATHS else lambda x: x
+    small = rows.join(join(counts.select("path")), "path", "left_anti")
+    # how often two sets of a bucket share the gram at one place of the sketch, another place for each bucket
+    place = F.substring("sketch", F.pmod(F.shiftright("path", RUN_BITS + 1), F.lit(BINS)).cast("int") + 1, F.lit(1))
+    large = rows.join(join(counts), "path")
+    shared = large.groupBy("path", place.alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("share"))
+    alike = cut(shared.where(F.col("share") >= ALIKE).select("path", F.lit(True).alias("alike")))
+    return small, large.join(join(alike), "path", "left").withColumn("alike", F.coalesce("alike", F.lit(False)))
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Rows of large buckets to one bucket for every two blocks of ``LIMIT / 2`` sets: sides 1 and 2; within a block: side 0."""
+    keep = F.lit((1 << (RUN_BITS + 1)) - 1)
+    size = F.ceil(F.col("n") / F.lit(max(LIMIT // 2, 1)))
+    dealt = large.withColumn("own", F.pmod(F.xxhash64("doc_id", "path"), size)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    path = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.select(path.bitwiseAND(F.bitwise_not(keep.cast("long"))).bitwiseOR(F.col("path").bitwiseAND(keep.cast("long"))).alias("path"), "doc_id", "size", "sketch", side.alias("side"))
+
+
 def _buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(path, doc_id, size, sketch): the rows of all final buckets."""
+    """(path, doc_id, size, sketch, side): the rows of all final buckets, none of which has more than about ``LIMIT`` sets."""
     rows = sets.select(F.explode("paths").alias("path"), "doc_id", "size", "sketch")
-    small = None
-    for level in range(DEPTH):
-        large = rows.groupBy("path").count().where(F.col("count") > LIMIT).select("path")
-        large = cut(large)
-        if large.isEmpty():
+    done = []
+    for level in range(DEPTH + 1):
+        found = _large(rows)
+        if found is None:
+            done.append(rows.withColumn("side", F.lit(0)))
             break
-        done = rows.join(large, "path", "left_anti")
-        small = done if small is None else small.unionByName(done)
-        split = rows.join(large, "path", "left_semi")
-        rows = cut(split.mapInArrow(lambda it, level=level: _split(it, threshold, level), "path long, doc_id long, size int, sketch binary").dropDuplicates(["path", "doc_id"]))
-    return rows if small is None else small.unionByName(rows)
+        small, large = found
+        done.append(small.withColumn("side", F.lit(0)))
+        if level == DEPTH:
+            done.append(_blocks(large))
+            break
+        done.append(_blocks(large.where("alike")))
+        split = large.where("NOT alike").select("path", "doc_id", "size", "sketch")
+        rows = cut(split.mapInArrow(lambda it, level=level: _split(it, threshold, level), "path long, doc_id long, size int, sketch binary"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _run(docs: DataFrame, n: int, threshold: float, runs: range, first: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -293,6 +342,14 @@ def _estimate(pairs: DataFrame) -> float:
     return min(shares)
 
 
+def _each(recall: float) -> int:
+    """Runs that find a pair at the threshold with the recall, if every bucket on its way is split ``DEPTH`` times."""
+    meet = 1.0
+    for rate in [RATE] * DEPTH + [1.0]:
+        meet = 1 - math.exp(-rate * meet)
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
 def _repeated(docs: DataFrame) -> bool:
     return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
@@ -304,7 +361,7 @@ def _one_text(docs: DataFrame) -> DataFrame:
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """((a, b, jaccard) of the sets' representatives, (rep, doc_id) of the other documents with the same set)."""
     docs = _one_text(known(docs))
-    each = max(2, math.ceil(-math.log(1 - recall)))
+    each = _each(recall)
     found, copies = _run(docs, n, threshold, range(each), True)
     most = 1 << RUN_BITS
     upto = each
@@ -318,19 +375,22 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
 
 
 def joined(docs: DataFrame, **options: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard, copies_a, copies_b): pairs of distinct sets with jaccard >= threshold.
+    """(doc_id, class_id, n_links) of every document with a link, to another one with jaccard >= threshold.
 
-    copies_a lists all documents with the set of doc_a (itself too), copies_b likewise, so
-    a row stands for all pairs between the lists. Sets with several documents have a row
-    of their own: jaccard 1, doc_a and doc_b its two lowest ids, copies_b empty.
+    class_id is the lowest doc_id of all that links lead to, n_links counts the other
+    documents, copies each by itself. A document without links is alone in its class and has no row.
+    ``pairs`` has the links between different sets themselves.
     """
     found, copies = pairs(docs, **options)
-    lists = cut(copies.groupBy("rep").agg(F.sort_array(F.collect_set("doc_id")).alias("others")))
-    a, b = lists.select(F.col("rep").alias("a"), F.col("others").alias("oa")), lists.select(F.col("rep").alias("b"), F.col("others").alias("ob"))
-    full = lambda x, o: F.concat(F.array(x), F.coalesce(F.col(o), F.array().cast("array<long>")))
-    between = found.join(a, "a", "left").join(b, "b", "left").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard", full("a", "oa").alias("copies_a"), full("b", "ob").alias("copies_b"))
-    same = lists.select(F.col("rep").alias("doc_a"), F.col("others")[0].alias("doc_b"), F.lit(1.0).alias("jaccard"), full("rep", "others").alias("copies_a"), F.array().cast("array<long>").alias("copies_b"))
-    return between.unionByName(same)
+    copies = cut(copies)
+    more = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("more"))
+    ends = found.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(found.select("b", "a"))
+    links = ends.join(more.withColumnRenamed("rep", "other"), "other", "left").groupBy("rep").agg(F.sum(1 + F.coalesce("more", F.lit(0))).alias("links"))
+    roots = components(found).withColumnRenamed("v", "rep")
+    classes = links.join(more, "rep", "full").join(roots, "rep", "left")
+    classes = cut(classes.select("rep", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")))
+    members = copies.unionByName(classes.select("rep", F.col("rep").alias("doc_id")))
+    return members.join(classes, "rep").select("doc_id", "class_id", "n_links")
 
 
 def components(edges: DataFrame) -> DataFrame:
