@@ -30,6 +30,16 @@ def write(folder: str, stem: str, parts: list[bytes], suffix: str = "") -> str:
     return name
 
 
+def replace(path: str, data: bytes) -> None:
+    """Write a file of the driver under its name, in place of what was there; readers see the old or the new one."""
+    system, at = _system(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    new = f"{at}-{uuid.uuid4().hex[:12]}"
+    with system.open_output_stream(new, compression=None) as out:
+        out.write(data)
+    system.move(new, at)
+
+
 def view(path: str) -> pa.Buffer:
     """The file's bytes: memory-mapped if the folder is mounted, else read."""
     local = local_path(path)

@@ -1,17 +1,20 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 The state is a log-structured store in the shared folder: each run is a table of
-128-bit line hashes, bucketed and sorted by hash. A new batch is hashed, shuffled once
-to the same buckets and merge-joined with each run (whose side needs no exchange); what
-no run holds and nothing earlier in the batch has is new and becomes a run of level 0.
-When a level has ``fanout`` runs, they are merged into one run of the next level, so a
-batch meets at most ``fanout`` runs a level. Runs never share a hash.
+128-bit line hashes with the place where each line first stood, bucketed and sorted by
+hash. A new batch is reduced to one row for each hash, the first place, before and after
+its one shuffle, so a line that every document has costs no task more than others. It is
+then merge-anti-joined with each run (whose side needs no exchange); what no run holds is
+new and becomes a run of level 0. When a level has ``fanout`` runs, they are merged, bucket
+by bucket, into one run of the next level, so a batch meets at most ``fanout`` runs a
+level. Runs never share a hash. A manifest in the store's folder names the runs of each
+level after every step, so a store can be opened again (``Runs.open``).
 
 The first occurrence of a line, by doc_id and then by place, stays; later ones go.
 Lines are compared without spaces, tabs and carriage returns at their ends.
 
-Defined results: lines of fewer than ``min_chars`` characters (so blank ones too) always
-stay. A null or empty text has no lines and comes back as it was. A null doc_id counts
+Defined results: lines of fewer than ``min_chars`` characters (blank ones in any case)
+always stay. A null or empty text has no lines and comes back as it was. A null doc_id counts
 as the lowest. Rows that repeat a doc_id with its text are one document and keep the
 same lines; rows that share a doc_id but differ in text are told apart by a hash of the
 text. A document may end up empty; ``deduplicated`` leaves such out if they had lines
@@ -20,107 +23,129 @@ to lose. An empty table gives an empty result. Other columns are kept as they ar
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, fresh, remove
+from . import files
+from .common import chunks, cut, documents, fresh, remove
 
-MIN_CHARS = 20
+MIN_CHARS = 1
 STRIP = " \t\r"
 LOWEST = -(1 << 63)
+_LINE = "h binary, k long, t long, n int"
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(k, t, n, h, again) of every line; a line's repeats inside a chunk need no shuffle and are marked."""
-    names = ["k", "t", "n", "h", "again"]
+    """(h, k, t, n) of the lines of each chunk, of equal ones the first only."""
     for batch in chunks(batches):
-        k, t, n, h = [], [], [], []
+        first: dict[bytes, tuple[int, int, int]] = {}
         for key, sign, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for i, line in enumerate((text or "").split("\n")):
                 line = line.strip(STRIP)
-                if len(line) >= least and line:
-                    k.append(key)
-                    t.append(sign)
-                    n.append(i)
-                    h.append(xxhash.xxh3_128_digest(line.encode()))
-        if not k:
-            continue
-        place = np.lexsort((np.array(n), np.array(t), np.array(k)))
-        first: dict[bytes, tuple[int, int, int]] = {}
-        again = np.zeros(len(k), bool)
-        for i in place:
-            at = (k[i], t[i], n[i])
-            again[i] = first.setdefault(h[i], at) != at
-        yield pa.record_batch([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), pa.array(again)], names)
+                if line and len(line) >= least:
+                    h, at = xxhash.xxh3_128_digest(line.encode()), (key, sign, i)
+                    old = first.setdefault(h, at)
+                    if at < old:
+                        first[h] = at
+        if first:
+            k, t, n = zip(*first.values(), strict=True)
+            yield pa.record_batch([pa.array(list(first), pa.binary()), pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int32())], ["h", "k", "t", "n"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("t"), "text")
 
 
+def _first(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("h").agg(F.min(F.struct("k", "t", "n")).alias("at")).select("h", "at.k", "at.t", "at.n")
+
+
 class Runs:
-    """The store. ``add`` takes a table of a batch's lines and gives back its decisions."""
+    """The store. ``add`` takes the lines (h, k, t, n) of a batch and keeps what is new in a run."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None, home: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.home = fresh(spark, "runs")
+        self.home = home or fresh(spark, "runs")
         self.levels: list[list[str]] = [[]]
-        self.decided: list[str] = []
-        self.count = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, home: str) -> Runs:
+        """The store that the manifest in a folder describes."""
+        m = json.loads(bytes(files.view(f"{home}/manifest.json")))
+        out = cls(spark, m["fanout"], m["buckets"], home)
+        out.levels = m["levels"]
+        for name in [r for level in out.levels for r in level]:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} (h BINARY, k BIGINT, t BIGINT, n INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {out.buckets} BUCKETS LOCATION '{home}/{name}'")
+        return out
+
+    def _note(self) -> None:
+        files.replace(f"{self.home}/manifest.json", json.dumps({"fanout": self.fanout, "buckets": self.buckets, "levels": self.levels}).encode())
 
     def _save(self, df: DataFrame) -> str:
         name = f"siftmill_run_{uuid.uuid4().hex}"
         df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.home}/{name}").saveAsTable(name)
-        self.count += 1
         return name
 
-    def _drop(self, name: str) -> None:
+    def _forget(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove(self.spark, f"{self.home}/{name}")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def places(self) -> DataFrame:
+        """(k, t, n): where every line of the store first stood."""
+        out = self.spark.createDataFrame([], "k long, t long, n int")
+        for name in [r for level in self.levels for r in level]:
+            out = out.unionByName(self.table(name).select("k", "t", "n"))
+        return out
 
     def add(self, lines: DataFrame) -> None:
-        """Decide the lines (k, t, n, h, again) of a batch that lies after all earlier ones."""
-        x = lines.repartition(self.buckets, "h").withColumn("seen", F.lit(False))
+        """Keep the new lines of a batch that lies after all earlier ones."""
+        new = _first(lines)
         for run in [r for level in self.levels for r in level]:
-            known = self.spark.table(run).select(F.col("h").alias("h_run"))
-            x = x.join(known.hint("merge"), F.col("h") == F.col("h_run"), "left").withColumn("seen", F.col("seen") | F.col("h_run").isNotNull()).drop("h_run")
-        rank = F.rank().over(Window.partitionBy("h").orderBy("k", "t", "n"))
-        out = f"{self.home}/decided-{len(self.decided)}"
-        decided = x.withColumn("dup", F.col("seen") | (rank > 1))
-        decided.select("k", "t", "n", "h", "dup").write.partitionBy("dup").parquet(out)
-        self.decided.append(out)
-        new = self.spark.read.schema("h binary, dup boolean").parquet(out).where("NOT dup").select("h")
-        self.levels[0].append(self._save(new.distinct()))
+            new = new.join(self.table(run).select("h").hint("merge"), "h", "left_anti")
+        self.levels[0].append(self._save(new))
+        self._note()
         self._compact()
 
     def _compact(self) -> None:
-        for i, level in enumerate(self.levels):
+        for i in range(len(self.levels)):
+            level = self.levels[i]
             if len(level) >= self.fanout:
-                merged = self.spark.table(level[0]).select("h")
-                for name in level[1:]:
-                    merged = merged.unionByName(self.spark.table(name).select("h"))
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._save(merged.repartition(self.buckets, "h")))
-                for name in level:
-                    self._drop(name)
+                self.levels[i + 1].append(self._save(self.merged(level)))
                 self.levels[i] = []
+                self._note()  # from here on the old runs are not read
+                for name in level:
+                    self._forget(name)
+                    remove(self.spark, f"{self.home}/{name}")
+
+    def merged(self, runs: list[str]) -> DataFrame:
+        """The lines of some runs, bucket by bucket: buckets meet without an exchange, as runs are bucketed alike."""
+        out = self.table(runs[0])
+        for name in runs[1:]:
+            out = out.unionByName(self.table(name))
+        return _first(out)
 
     def close(self) -> None:
+        """Drop the store."""
         for level in self.levels:
             for name in level:
-                self._drop(name)
+                self._forget(name)
+        remove(self.spark, self.home)
 
 
-def drops(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(k, t, dropped: array of line numbers) of the documents that lose lines.
+def kept_lines(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(k, t, kept: array of the numbers of lines that stay) of the documents that keep lines.
 
     ``docs`` is taken in ``batches`` ranges of doc_id, as a store that grows day by day would see it.
     """
@@ -128,31 +153,38 @@ def drops(docs: DataFrame, batches: int = 6, fanout: int = 3, min_chars: int = M
     bounds = docs.select(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     bounds = sorted(set(bounds))
     lines = fresh(spark, "lines")
-    hashed = _identified(docs).mapInArrow(lambda it: _hashes(it, min_chars), "k long, t long, n int, h binary, again boolean")
-    number = sum((F.when(F.col("k") > b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    hashed.withColumn("batch", F.when(F.col("again"), -1).otherwise(number)).write.partitionBy("batch").parquet(lines)
-    stored = spark.read.schema("k long, t long, n int, h binary, again boolean, batch int").parquet(lines)
     runs = Runs(spark, fanout)
-    for b in range(len(bounds) + 1):
-        runs.add(stored.where(F.col("batch") == b))
-    runs.close()
-    gone = stored.where("batch = -1").select("k", "t", "n")
-    for path in runs.decided:
-        gone = gone.unionByName(spark.read.schema("k long, t long, n int, dup boolean").parquet(path).where("dup").select("k", "t", "n"))
-    return gone.groupBy("k", "t").agg(F.collect_set("n").alias("dropped"))
+    try:
+        hashed = _identified(docs).mapInArrow(lambda it: _hashes(it, min_chars), _LINE)
+        number = sum((F.when(F.col("k") > b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
+        hashed.withColumn("batch", number).write.partitionBy("batch").parquet(lines)
+        stored = spark.read.schema(f"{_LINE}, batch int").parquet(lines)
+        for b in range(len(bounds) + 1):
+            runs.add(stored.where(F.col("batch") == b).drop("batch"))
+        return cut(runs.places().groupBy("k", "t").agg(F.collect_set("n").alias("kept")))
+    finally:
+        runs.close()
+        remove(spark, lines)
+
+
+# the numbers of a text's lines that go: neither kept nor too short to count
+_DROPPED = r"""transform(array(split({text}, '\n', -1)), l -> array_except(filter(sequence(0, size(l) - 1), i -> length(trim(BOTH ' \t\r' FROM l[i])) >= {least}), coalesce(kept, array())))[0]"""
+_REBUILD = r"""CASE WHEN size(dropped) > 0 THEN element_at(transform(array(split({text}, '\n', -1)),
+    l -> array_join(transform(array_except(sequence(0, size(l) - 1), dropped), i -> l[i]), '\n')), 1) ELSE {text} END"""
 
 
-_REBUILD = r"""CASE WHEN dropped IS NULL THEN {text} ELSE element_at(transform(array(split({text}, '\n', -1)),
-    l -> array_join(transform(array_except(sequence(0, size(l) - 1), dropped), i -> l[i]), '\n')), 1) END"""
+def _with_dropped(rows: DataFrame, text: str, least: int) -> DataFrame:
+    return rows.withColumn("dropped", F.coalesce(F.expr(_DROPPED.format(text=text, least=max(least, 1))), F.array().cast("array<int>"))).withColumn("new", F.expr(_REBUILD.format(text=text)))
 
 
-def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, **options: int) -> DataFrame:
     """docs with later occurrences of lines taken out (``text``, and ``n_chars`` if there); emptied documents go."""
-    lost = drops(docs, **options)
+    kept = kept_lines(docs, min_chars=min_chars, **options)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("t"))
-    both = row.join(lost, ["k", "t"], "left").withColumn("new", F.expr(_REBUILD.format(text="row.text")))
-    both = both.where(r"dropped IS NULL OR new RLIKE '[^ \\t\\r\\n]'")
-    changed = {"text": F.col("new")} | ({"n_chars": F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
+    both = _with_dropped(row.join(kept, ["k", "t"], "left"), "row.text", min_chars)
+    lost = F.size("dropped") > 0
+    both = both.where(~lost | F.col("new").rlike(r"[^ \t\r\n]"))
+    changed = {"text": F.col("new")} | ({"n_chars": F.when(lost, F.length("new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return both.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -160,8 +192,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_dropped, text) of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     row = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("t"))
-    both = row.join(drops(docs), ["k", "t"], "left")
-    return both.select("doc_id", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.expr(_REBUILD.format(text="text")).alias("text"))
+    both = _with_dropped(row.join(kept_lines(docs), ["k", "t"], "left"), "text", MIN_CHARS)
+    return both.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.col("new").alias("text"))
 
 
 SQL = f"""
