@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality.query,
+    "quality_ablation": quality.ablation_query,  # the second half of op3: from the stored ledger
     "op4_toxicity": toxicity.query,
     "op5_url_filter": urlfilter.query,
     "op6_line_dedup": linededup.query,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_quality_rules": quality.SQL,
+    "quality_ablation": quality.ABLATION_SQL,
     "op5_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
     "op9_warc": warc.SQL,

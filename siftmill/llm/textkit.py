@@ -93,18 +93,19 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def words(column: pa.Array) -> Words:
     """Cut every text of a string column into words."""
-    return _cut(*utf8(pc.utf8_lower(column)), _IS_WORD.astype(np.int8))
+    return cut(*utf8(pc.utf8_lower(column)), _IS_WORD.astype(np.int8))
 
 
 def tokens(column: pa.Array) -> Words:
     """Cut every text, case as it is, into runs of letters and digits and runs of other signs."""
-    return _cut(*utf8(column), _KIND)
+    return cut(*utf8(column), _KIND)
 
 
-def _cut(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Words:
+def cut(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, between: int = 32) -> Words:
+    """Cut the rows of a UTF-8 buffer into runs of bytes of one kind, other than 0; ``between`` is a byte of kind 0."""
     n = len(raw)
     # a separator before every row keeps words of neighbouring rows apart
-    data = np.full(n + len(offsets) - 1, 32, np.uint8)
+    data = np.full(n + len(offsets) - 1, between, np.uint8)
     if n:
         keep = np.ones(len(data), bool)
         keep[offsets[:-1] + np.arange(len(offsets) - 1)] = False

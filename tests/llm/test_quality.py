@@ -7,6 +7,13 @@ from .data import frame, hard_rows, save
 def test_sql(spark, tmp_path):
     d = save(spark, tmp_path, documents=frame(spark, hard_rows()))
     compare(quality.query(spark, d), quality.SQL, d)
+    compare(quality.ablation_query(spark, d), quality.ABLATION_SQL, d)
+
+
+def test_counts_of_any_script_against_sql(spark, tmp_path):
+    texts = ["ÄÖÜ ÉÈ Straße ÇA", "Привет МИР друзья", "日本語 の 文章 です 。", "emoji 😀 𝒜𝒷 𐐀𐐨 mixed", "\n \n\t\n   \nline\nline\n", "a a\na  a\u00a0a\u00a0a", "x\x0cx x\x0bx", "ǅ ǈ titlecase", "\u2028para\u2029", "é" * 5000, "ends with two \n\n"]
+    d = save(spark, tmp_path, documents=frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    compare(quality.query(spark, d), quality.SQL, d)
 
 
 def test_defined_results(spark):
@@ -42,6 +49,9 @@ def test_accept_and_ablation(spark):
     kept = quality.accept(docs)
     assert kept.columns == docs.columns
     assert kept.count() == led.where("keep_v2").count()
+    saved = quality.stored(docs)
+    assert sorted(map(repr, quality.accept(docs, led=saved).collect())) == sorted(map(repr, kept.collect()))
+    assert quality.ablation(saved.limit(0)).count() == 0 and quality.stored(docs.limit(0)).count() == 0
     assert quality.accept(docs.limit(0)).count() == 0 and quality.ledger(docs.limit(0)).count() == 0
     rows = led.collect()
     for r in quality.ablation(led).collect():
