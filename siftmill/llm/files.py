@@ -7,6 +7,8 @@ successful task reported are ever read, so a lost executor leaves at most an orp
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,6 +32,22 @@ def write(folder: str, stem: str, parts: list[bytes], suffix: str = "") -> str:
     return name
 
 
+@contextmanager
+def writer(folder: str, stem: str, suffix: str = "") -> Iterator[tuple[str, pa.NativeFile]]:
+    """(path, stream) of a new file of the folder, to be written part by part."""
+    name = f"{folder}/{stem}-{uuid.uuid4().hex[:12]}{suffix}"
+    system, path = _system(name)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        yield name, out
+
+
+def opened(path: str) -> pa.NativeFile:
+    """The file for reads at places of its own; nothing else of it is fetched."""
+    system, at = _system(path)
+    return system.open_input_file(at)
+
+
 def replace(path: str, data: bytes) -> None:
     """Write a file of the driver under its name, in place of what was there; readers see the old or the new one."""
     system, at = _system(path)

@@ -1,7 +1,8 @@
 """WARC records in seekable Zstandard bundles.
 
 A bundle holds the records of one range of page_id as independent Zstandard frames of
-``FRAME`` records each, followed by a seek table in a skippable frame (sizes of all
+``FRAME`` records each (fewer where they would exceed ``FRAME_BYTES``), followed by a
+seek table in a skippable frame (sizes of all
 frames, number of frames, magic), as the public seekable format has it: any Zstandard
 tool can read the whole, and a reader that knows frame and offset opens one frame only.
 The index maps record identifiers to (bundle, frame, offset within the frame, length).
@@ -12,8 +13,10 @@ is cut there too, so what it names was written by tasks that succeeded.
 Defined results: a record has page_id, url and html as they were, nulls too (marked in a
 header); rows that repeat are records of their own at offsets of their own, with the same
 identifier. Order in a bundle: page_id, identifier. A null page_id belongs to bundle -1
-like the ids from -BUNDLE to -1, and comes first. Addresses with control characters are
-stored in base64. A page of any length is one record. An empty table writes nothing.
+like the ids from -BUNDLE to -1, and comes first. A bundle with more than ``LARGE`` times
+BUNDLE records (null or repeated page_ids) is several files, each in that order. Tasks
+write and read frame by frame and hold one at a time. Addresses with control characters are
+stored in base64. A page of any length that Spark holds is one record. An empty table writes nothing.
 Other columns are not stored.
 """
 
@@ -23,18 +26,22 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import cut, fresh
-
-#: page_ids in a bundle, records in a frame.
-BUNDLE, FRAME = 2048, 64
+from .common import chunks, cut, fresh
+
+#: page_ids in a bundle, records in a frame, bytes after which a frame ends before that, times BUNDLE that make a bundle too large for one file.
+BUNDLE, FRAME, FRAME_BYTES, LARGE = 2048, 64, 1 << 28, 4
+#: Bytes of records that a task reads back.
+TASK_BYTES = 1 << 27
+#: Too large bundles of which the list may be broadcast; more are joined by shuffling.
+BROADCAST_BUNDLES = 50_000
 DATE = "2000-01-01T00:00:00Z"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -69,80 +76,112 @@ def seal(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", _SKIPPABLE, len(table)) + table
 
 
-def seek_table(raw: memoryview) -> list[tuple[int, int, int]]:
+def seek_table(f: pa.NativeFile) -> list[tuple[int, int, int]]:
     """(start, compressed size, plain size) of the frames of a bundle, read from its end."""
-    n, flags, magic = struct.unpack("<IBI", raw[-9:])
+    end = f.size()
+    n, flags, magic = struct.unpack("<IBI", f.read_at(9, end - 9))
     if magic != _SEEKABLE or flags & 0x7C:
         raise ValueError("not a seekable bundle")
     each = 12 if flags & 0x80 else 8
+    table = f.read_at(each * n, end - 9 - each * n)
     out, start = [], 0
     for i in range(n):
-        at = len(raw) - 9 - each * (n - i)
-        size, plain = struct.unpack("<II", raw[at : at + 8])
+        size, plain = struct.unpack("<II", table[each * i : each * i + 8])
         out.append((start, size, plain))
         start += size
     return out
 
 
 _INDEX = "record_id string, page_id long, bundle long, path string, frame long, offset long, length long"
+_KINDS = {"string": pa.string(), "long": pa.int64()}
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in ddl.split(", ")), strict=True)
+    return pa.record_batch([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple]:
+    for batch in chunks(batches, text):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _pack(key: tuple, table: pa.Table, folder: str) -> pa.Table:
-    bundle = key[0].as_py()
-    order = pc.sort_indices(table, [("page_id", "ascending"), ("record_id", "ascending")], null_placement="at_start")
-    rows = table.take(order)
+def _pack(batches: Iterator[pa.RecordBatch], folder: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (bundle, part, record_id, page_id, url, html) to bundles; no more than a frame is held."""
     packer = zstandard.ZstdCompressor(level=3)
-    parts, frames, index, plain = [], [], [], []
-    at = 0
-    ids, pages, urls, htmls = (rows.column(c).to_pylist() for c in ("record_id", "page_id", "url", "html"))
-    for i, row in enumerate(zip(ids, pages, urls, htmls, strict=True)):
-        raw = record(*row)
-        index.append((row[0], row[1], bundle, i // FRAME, at, len(raw)))
-        plain.append(raw)
-        at += len(raw)
-        if i % FRAME == FRAME - 1 or i == len(ids) - 1:
-            parts.append(packer.compress(b"".join(plain)))
-            frames.append((len(parts[-1]), at))
-            plain, at = [], 0
-    path = files.write(folder, f"bundle-{bundle}", [*parts, seal(frames)], ".warc.zst")
-    c = list(zip(*index, strict=True))
-    return pa.table([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array([path] * len(ids)), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64())], [x.split()[0] for x in _INDEX.split(", ")])
+    for (bundle, _), rows in groupby(_rows(batches, "html"), key=lambda r: r[:2]):
+        with files.writer(folder, f"bundle-{bundle}", ".warc.zst") as (path, out):
+            frames: list[tuple[int, int]] = []
+            plain, index, size = [], [], 0
+
+            def close() -> pa.RecordBatch:
+                raw = packer.compress(b"".join(plain))
+                out.write(raw)
+                frames.append((len(raw), size))
+                return _table(index, _INDEX)
+
+            for row in rows:
+                raw = record(*row[2:])
+                if plain and (len(plain) == FRAME or size + len(raw) > most):
+                    yield close()
+                    plain, index, size = [], [], 0
+                index.append((row[2], row[3], bundle, path, len(frames), size, len(raw)))
+                plain.append(raw)
+                size += len(raw)
+            yield close()
+            out.write(seal(frames))
 
 
 _ID = "lower(md5(concat_ws('|', coalesce(cast(page_id as string), ''), coalesce(url, ''), md5(coalesce(html, '')))))"
 
 
-def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write pages(page_id, url, html) as bundles to the folder; returns the index."""
-    folder = folder or fresh(pages.sparkSession, "warc")
-    hexed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("m", F.expr(_ID))
+    spark = pages.sparkSession
+    folder = folder or fresh(spark, "warc")
+    bundle = F.coalesce(F.floor(F.col("page_id").cast("long") / BUNDLE), F.lit(-1)).cast("long")
+    # bundles that repeated or null page_ids make much larger than BUNDLE are dealt to parts
+    large = pages.groupBy(bundle.alias("bundle")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE * BUNDLE).select("bundle", F.ceil(F.col("n") / BUNDLE).alias("parts"))
+    large = cut(large)
+    large = F.broadcast(large) if large.count() <= BROADCAST_BUNDLES else large
+    hexed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", bundle.alias("bundle"), F.spark_partition_id().alias("from")).withColumn("m", F.expr(_ID))
     named = hexed.withColumn("record_id", F.concat_ws("-", *[F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])).drop("m")
-    bundled = named.withColumn("bundle", F.coalesce(F.floor(F.col("page_id") / BUNDLE), F.lit(-1)).cast("long"))
-    return cut(bundled.groupBy("bundle").applyInArrow(lambda k, t: _pack(k, t, folder), _INDEX))
+    dealt = named.join(large, "bundle", "left").withColumn("part", F.pmod(F.xxhash64("record_id") + F.col("from"), F.coalesce("parts", F.lit(1).cast("long"))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt.select("bundle", "part", "record_id", "page_id", "url", "html").repartition(parts, "bundle", "part").sortWithinPartitions("bundle", "part", F.asc_nulls_first("page_id"), "record_id")
+    return cut(placed.mapInArrow(lambda it: _pack(it, folder, frame_bytes), _INDEX))
 
 
 _RECORD = "page_id long, url string, record_id string, bundle long, frame long, offset long, length long, html string"
 
 
-def _unpack(key: tuple, table: pa.Table) -> pa.Table:
-    raw = memoryview(files.view(key[0].as_py()))
-    frames = seek_table(raw)
-    rows = table.take(pc.sort_indices(table, [("frame", "ascending"), ("offset", "ascending")]))
-    opener, now, plain = zstandard.ZstdDecompressor(), -1, b""
-    out = []
-    for bundle, frame, offset, length in zip(*(rows.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length")), strict=True):
-        if frame != now:
-            start, size, full = frames[frame]
-            plain, now = opener.decompress(raw[start : start + size], max_output_size=max(full, 1)), frame
-        record_id, page_id, url, html = parse(plain[offset : offset + length])
-        out.append((page_id, url, record_id, bundle, frame, offset, length, None if html is None else html.decode()))
-    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.string()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (path, bundle, frame, offset, length) to records; no more than a frame is held."""
+    opener = zstandard.ZstdDecompressor()
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for path, wanted in groupby(rows, key=lambda r: r[0]):
+        with files.opened(path) as f:
+            frames = seek_table(f)
+            for number, inside in groupby(wanted, key=lambda r: r[2]):
+                start, size, full = frames[number]
+                plain = opener.decompress(f.read_at(size, start), max_output_size=max(full, 1))
+                out = []
+                for _, bundle, frame, offset, length in inside:
+                    record_id, page_id, url, html = parse(plain[offset : offset + length])
+                    out.append((page_id, url, record_id, bundle, frame, offset, length, None if html is None else html.decode()))
+                yield _table(out, _RECORD)
 
 
 def read(index: DataFrame) -> DataFrame:
-    """The records that the index names, read back from their bundles; a frame is opened once."""
-    return index.select("path", "bundle", "frame", "offset", "length").groupBy("path").applyInArrow(_unpack, _RECORD)
+    """The records that the index names, read back from their bundles; a frame is opened once.
+
+    The index is small beside what it stands for, so the number of tasks follows the bytes of the records.
+    """
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    placed = index.select("path", "bundle", "frame", "offset", "length").repartition(tasks, "path", "frame").sortWithinPartitions("path", "frame", "offset")
+    return placed.mapInArrow(_unpack, _RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,31 @@ def test_bundles_are_plain_zstandard_and_frames_stand_alone(spark):
     for path, n in {(r["path"], r["bundle"]) for r in index.collect()}:
         raw = bytes(files.view(path))
         whole = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
-        table = warc.seek_table(memoryview(raw))
+        table = warc.seek_table(files.opened(path))
         assert sum(t[2] for t in table) == len(whole)
         start, size, plain = table[-1]
         assert zstandard.ZstdDecompressor().decompress(raw[start : start + size]) == whole[len(whole) - plain :]
-    assert warc.write(spark.createDataFrame([], PAGES)).count() == 0
+    nothing = warc.write(spark.createDataFrame([], PAGES))
+    assert nothing.count() == 0 and warc.read(nothing).count() == 0
+
+
+def pages_of(df):
+    return sorted(((r["page_id"], r["url"], r["html"]) for r in df.collect()), key=repr)
+
+
+def test_frames_end_before_their_bytes_are_too_many(spark):
+    rows = [(i, f"http://e.org/{i}", "x" * (i * 100 % 9000)) for i in range(200)]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), frame_bytes=5000)
+    assert pages_of(warc.read(index)) == sorted(rows, key=repr)
+    tables = [warc.seek_table(files.opened(path)) for path in {r["path"] for r in index.collect()}]
+    assert sum(map(len, tables)) > 150 and all(t[2] < 5000 + 500 or t[2] < 9400 for table in tables for t in table)
+
+
+def test_bundles_of_repeated_and_null_ids_are_several_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 16)
+    rows = [(None, f"http://n/{i}", f"n{i}") for i in range(200)] + [(5, "http://same", "same")] * 200 + [(40, "http://x", "x")]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert pages_of(warc.read(index)) == sorted(rows, key=repr)
+    assert len({r["path"] for r in index.where("bundle = -1").collect()}) > 5
+    assert len({r["path"] for r in index.where("bundle = 0").collect()}) > 1
+    assert len({r["path"] for r in index.where("bundle = 2").collect()}) == 1
