@@ -13,7 +13,9 @@ windows are shuffled by name, and each task sorts the suffixes of its names:
   descent that looks at branching bytes only, one comparison with the leaf it ends at,
   and an insertion where the two part. Equal suffixes meet in one leaf.
 
-A leaf with two documents marks its windows; marked windows are merged to spans.
+A leaf with two documents marks its windows; marked windows are merged to spans. A name
+that more than ``HOT`` documents share is not sorted in one task: its windows meet one by
+one, by hash, with aggregation before the shuffle.
 
 Defined results: positions count words (``textkit.WORD``) from 0, ``end_word`` is
 exclusive. Repeats inside one document alone do not count, and rows that share a doc_id
@@ -32,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import chunks, documents, known, runs_of
+from .common import chunks, cut, documents, known, runs_of
 
 LEAST, GRAM, SHALLOW = 50, 10, 12
+#: Documents with a name from which on its windows are compared one by one.
+HOT = 20_000
 #: Windows of one row: bounds the context that is shuffled with a name.
 ROW = 64
 _TOP = np.uint64(2**64 - 1)
@@ -87,17 +91,21 @@ def _names(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator
         yield pa.record_batch([pa.array(name[new].view(np.int64)), pa.array(ids)], ["name", "doc_id"])
 
 
+def _wanted(batch: pa.RecordBatch, name: np.ndarray, start: np.ndarray, count: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows whose name is among those listed with their row."""
+    lists = batch.column("names")
+    wanted, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    keep = np.zeros(len(name), bool)
+    edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    for i in range(batch.num_rows):
+        keep[edge[i] : edge[i + 1]] = np.isin(name[edge[i] : edge[i + 1]], wanted[ends[i] : ends[i + 1]])
+    return name[keep], start[keep], count[keep], row[keep]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         w = textkit.words(batch.column("text"))
-        name, start, count, row = _named(w, least, gram)
-        lists = batch.column("names")
-        wanted, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        keep = np.zeros(len(name), bool)
-        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        for i in range(batch.num_rows):
-            keep[edge[i] : edge[i + 1]] = np.isin(name[edge[i] : edge[i + 1]], wanted[ends[i] : ends[i + 1]])
-        name, start, count, row = name[keep], start[keep], count[keep], row[keep]
+        name, start, count, row = _wanted(batch, *_named(w, least, gram))
         if not len(name):
             continue
         sizes = count + least - 1
@@ -247,19 +255,42 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch], least: int, shallow: int, l
         yield pa.record_batch([pa.array(ids[owner[begin]]), pa.array(place[begin]), pa.array(place[last] + least)], ["doc_id", "start_word", "end_word"])
 
 
-def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shallow: int = SHALLOW, later: bool = False) -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(w, doc_id, place): hash and place of every window of the wanted names."""
+    for batch in chunks(batches):
+        w = textkit.words(batch.column("text"))
+        name, start, count, row = _wanted(batch, *_named(w, least, gram))
+        if not len(name):
+            continue
+        at = np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+        row = np.repeat(row, count)
+        yield pa.record_batch([pa.array(textkit.grams(w, least)[0][at].view(np.int64)), pa.array(batch.column("doc_id").to_numpy()[row]), pa.array((at - w.first[row]).astype(np.int64))], ["w", "doc_id", "place"])
+
+
+def _hot_spans(docs: DataFrame, wanted: DataFrame, least: int, gram: int, later: bool) -> DataFrame:
+    """Spans from the windows of hot names: sorting has nothing to add there, so equal windows meet by their hash, aggregated before and after the shuffle."""
+    windows = docs.join(wanted, "doc_id").select("doc_id", "text", "names").mapInArrow(lambda it: _windows(it, least, gram), "w long, doc_id long, place long")
+    windows = cut(windows)
+    both = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    hit = windows.join(both, "w")
+    return (hit.where("low < doc_id") if later else hit).select("doc_id", F.col("place").alias("start_word"), (F.col("place") + least).alias("end_word"))
+
+
+def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shallow: int = SHALLOW, later: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word): the spans of docs whose words repeat, ``least`` in a row, in other documents.
 
     With ``later`` only spans that a document of lower doc_id has: what a dedup takes out.
     """
     docs = known(docs)
-    names = docs.mapInArrow(lambda it: _names(it, least, gram), "name long, doc_id long")
-    by = Window.partitionBy("name")
-    shared = names.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by)).where("low <> high")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    contexts = docs.join(wanted, "doc_id").select("doc_id", "text", "names").mapInArrow(lambda it: _contexts(it, least, gram), "name long, doc_id long, first long, context binary")
+    names = cut(docs.mapInArrow(lambda it: _names(it, least, gram), "name long, doc_id long"))
+    shared = names.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    shared = cut(shared.select("name", (F.col("n") > hot).alias("hot")))
+    wanted = lambda which: names.join(shared.where(which), "name").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
+    contexts = docs.join(wanted("NOT hot"), "doc_id").select("doc_id", "text", "names").mapInArrow(lambda it: _contexts(it, least, gram), "name long, doc_id long, first long, context binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = contexts.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(lambda it: _sorted_spans(it, least, shallow, later), "doc_id long, start_word long, end_word long")
+    if not shared.where("hot").isEmpty():
+        found = found.unionByName(_hot_spans(docs, wanted("hot"), least, gram, later))
     order = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reach").isNull() | (F.col("start_word") > F.col("reach")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))

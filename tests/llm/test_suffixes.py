@@ -36,6 +36,14 @@ def test_defined_results(spark):
     assert suffixes.repeats(docs.limit(0)).count() == 0
 
 
+def test_hot_names_give_the_same_spans(spark):
+    docs = frame(spark, rows())
+    for later in (False, True):
+        want = sorted(tuple(r) for r in suffixes.repeats(docs, later=later).collect())
+        assert want == sorted(tuple(r) for r in suffixes.repeats(docs, later=later, hot=3).collect())
+        assert want == sorted(tuple(r) for r in suffixes.repeats(docs, later=later, hot=0).collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=12, max_size=80), st.integers(1, 6))
 def test_multikey_quicksort_groups_what_shares_a_prefix(values, shallow):
