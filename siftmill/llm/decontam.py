@@ -1,15 +1,19 @@
-"""Benchmark decontamination: word pairs as seeds, a lossless count, Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, counted without loss, Smith-Waterman alignment.
 
 1. Every alignment of a document with an item (match 2, mismatch and gap -1) is a chain of
    matched words. A step to the next matched word that takes p words in the item and q in
    the text costs max(p, q) - 1, so a chain of score S has steps that cost 0 or 1 (p and q
    at most 2) of which, counted 2 and 1, there are S - 2 or more, within 3 m - S words of the
-   text (m: words of the item). The pairs of words one and two apart in the items are looked
-   up in every document in one scan; each place counts 2 or 1 for the items that have its pair.
-2. A passage is what lies around places from which on the count is enough for a score of
-   ``LEAK``. Nothing that aligns well enough can be without; how often an item or a pair
-   stands in the corpus makes no difference.
-3. All passages are aligned to their item, word by word, vectorised over passages. The
+   text (m: words of the item). The n-grams here are these pairs of words, one and two apart.
+2. One scan counts how often each pair of the items stands in the corpus. Every item gives
+   up its most frequent pairs, as long as what the rest has to count stays above ``KEEP`` of
+   the S - 2; each pair given up lowers that by what it could have counted. What is left are
+   the item's rare seeds: a second scan looks them up in every document. Seeds chosen by rarity
+   alone, with one hit enough, lose edited copies; so many frequent pairs, for hits
+   that are counted exactly, lose none, however often an item or a pair stands in the corpus.
+3. A passage is what lies around places from which on the count is enough for a score of
+   ``LEAK``. Nothing that aligns well enough can be without.
+4. All passages are aligned to their item, word by word, vectorised over passages. The
    score is divided by that of the item with itself; from ``LEAK`` on it is a leak. Edited,
    shortened and interleaved copies keep most of their score.
 
@@ -39,6 +43,8 @@ from . import textkit
 from .common import chunks, documents, known
 
 N, LEAK = 3, 0.5
+#: Share of the count that stays with an item's rare seeds; pairs of which the frequency is told apart (others count as rare).
+KEEP, FREQUENT = 1 / 3, 1 << 17
 MATCH, MISS, GAP = 2, -1, 1
 SHARD_WORDS = 2_000_000
 _WIDE = np.int64(1 << 32)
@@ -63,28 +69,50 @@ class Items:
     post: np.ndarray  # of pair g: item[post[g]:post[g + 1]]
     item: np.ndarray
     near: np.ndarray  # of the postings: do the words stand next to each other?
+    many: np.ndarray  # of the postings: how often the item has the pair
+    need: np.ndarray  # of the items: what its pairs have to count
     seen: np.ndarray  # 2 ** 20 flags by the pairs' low bits
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str], n: int) -> Items:
+    def of(cls, ids: list[int], texts: list[str], n: int, least: float) -> Items:
         w = textkit.words(pa.array(texts, pa.string()))
-        long = np.repeat(np.diff(w.first) >= n, np.diff(w.first))
+        lengths = np.diff(w.first)
+        long = np.repeat(lengths >= n, lengths)
         (one, ok1), (two, ok2) = _pairs(w, 1), _pairs(w, 2)
         ok1, ok2 = ok1 & long, ok2 & long
         grams, which = np.unique(np.concatenate([one[ok1], two[ok2]]), return_inverse=True)
         item = np.concatenate([w.doc()[ok1], w.doc()[ok2]])
-        pairs, at = np.unique(which.astype(np.int64) * max(len(ids), 1) + item, return_index=True)  # the first of each, so adjacent ones if any
+        pairs, at, many = np.unique(which.astype(np.int64) * max(len(ids), 1) + item, return_index=True, return_counts=True)  # the first of each, so adjacent ones if any
         gram, item = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
-        seen = np.zeros(1 << 20, bool)
-        seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(np.array(ids, np.int64), _fold(w.hash), w.first, grams, np.searchsorted(gram, np.arange(len(grams) + 1)), item, at < ok1.sum(), seen)
+        need = np.maximum(_score(lengths, least) - 2, 1)
+        return cls(np.array(ids, np.int64), _fold(w.hash), w.first, grams, np.searchsorted(gram, np.arange(len(grams) + 1)), item, at < ok1.sum(), many, need, _flags(grams))
 
-    def find(self, g: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, postings) of the pairs that the items have, one for each item."""
+    def rare(self, frequency: np.ndarray, keep: float) -> Items:
+        """The items without their most frequent pairs (by ``frequency`` of each pair), which need less count for that."""
+        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.post))
+        order = np.lexsort((-frequency[gram], self.item))
+        cost = 2 * self.many[order]  # no step counts more than 2
+        item = self.item[order]
+        spent = np.cumsum(cost)
+        start = np.searchsorted(item, np.arange(len(self.ids)))
+        before = np.append(0, spent)[start]
+        gone = (spent - before[item] <= np.floor(self.need * (1 - keep))[item]) & (frequency[gram[order]] > 0)
+        need = self.need - np.bincount(item[gone], cost[gone], len(self.ids)).astype(np.int64)
+        left = np.sort(order[~gone])
+        some, which = np.unique(gram[left], return_inverse=True)
+        grams = self.grams[some]
+        return Items(self.ids, self.words, self.first, grams, np.searchsorted(which, np.arange(len(grams) + 1)), self.item[left], self.near[left], self.many[left], np.maximum(need, 1), _flags(grams))
+
+    def known(self, g: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, pairs) where a pair of the items stands."""
         at = np.flatnonzero(ok & self.seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
         same = self.grams[k] == g[at]
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def find(self, g: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, postings) of the pairs that the items have, one for each item."""
+        at, k = self.known(g, ok)
         many = self.post[k + 1] - self.post[k]
         return np.repeat(at, many), np.arange(many.sum()) + np.repeat(self.post[k] - (np.cumsum(many) - many), many)
 
@@ -93,6 +121,16 @@ def _fold(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def _flags(grams: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << 20, bool)
+    seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    return seen
+
+
+def _score(lengths: np.ndarray, least: float) -> np.ndarray:
+    return np.ceil(MATCH * least * lengths - 1e-9).astype(np.int64)
+
+
 def passages(w: textkit.Words, items: Items, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, begin, end) in words of the batch: no alignment with a share of ``least`` or more lies elsewhere."""
     (p1, o1), (p2, o2) = items.find(*_pairs(w, 1)), items.find(*_pairs(w, 2))
@@ -106,12 +144,11 @@ def passages(w: textkit.Words, items: Items, least: float) -> tuple[np.ndarray,
     weight, key = 2 - (key & 1), key >> 1
     item, place = key // size, key % size
     lengths = np.diff(items.first)[item]
-    score = np.ceil(MATCH * least * lengths - 1e-9).astype(np.int64)
-    span = 3 * lengths - score
+    span = 3 * lengths - _score(lengths, least)
     row = np.searchsorted(w.first, place, "right") - 1
     total = np.append(0, np.cumsum(weight))
     upto = np.searchsorted(key, item * size + np.minimum(place + span, w.first[row + 1]))
-    enough = np.flatnonzero(total[upto] - total[:-1] >= np.maximum(score - 2, 1))
+    enough = np.flatnonzero(total[upto] - total[:-1] >= items.need[item])
     item, place, row, span = item[enough], place[enough], row[enough], span[enough]
     lo, hi = np.maximum(place - span, w.first[row]), np.minimum(place + span, w.first[row + 1])
     new = np.ones(len(place), bool)
@@ -170,6 +207,18 @@ def _leaks(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Ite
                 yield pa.record_batch([pa.array(ids[row[chosen]]), pa.array(items.ids[item[chosen]]), pa.array(share[keep]), pa.array(start + begin[keep]), pa.array(start + end[keep])], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    """(pair, n): how often each pair of the items stands in a task's documents."""
+    total = np.zeros(len(items.grams), np.int64)
+    for batch in chunks(batches):
+        w = textkit.words(batch.column("text"))
+        for apart in (1, 2):
+            total += np.bincount(items.known(*_pairs(w, apart))[1], minlength=len(total))
+    some = np.flatnonzero(total)
+    if len(some):
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+
 def _shards(benchmark: DataFrame, words: int) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 5
@@ -184,10 +233,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAK
     out = None
     for shard in _shards(benchmark, shard_words):
         rows = sorted((r["item_id"], r["text"]) for r in shard.collect())
-        items = Items.of([r[0] for r in rows], [r[1] for r in rows], n)
+        items = Items.of([r[0] for r in rows], [r[1] for r in rows], n, least)
         if not len(items.grams):
             continue
         sent = spark.sparkContext.broadcast(items)
+        counted = docs.mapInArrow(lambda it, sent=sent: _counts(it, sent.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        frequency = np.zeros(len(items.grams), np.int64)
+        top = counted.orderBy(F.desc("n"), "pair").limit(FREQUENT).toArrow()
+        frequency[top.column("pair").to_numpy()] = top.column("n").to_numpy()
+        sent = spark.sparkContext.broadcast(items.rare(frequency, KEEP))
         found = docs.mapInArrow(lambda it, sent=sent: _leaks(it, sent.value, least), "doc_id long, item_id long, score double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     if out is None:

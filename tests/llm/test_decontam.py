@@ -1,8 +1,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from siftmill.llm import decontam
+from siftmill.llm import decontam, textkit
 
 from .data import edited, frame, hard_rows, prose
 
@@ -102,3 +105,32 @@ def test_thinly_kept_copies(spark):
     got = decontam.leaks(frame(spark, docs), spark.createDataFrame([(*i, "own") for i in items], ITEMS)).collect()
     assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in got} == want
     assert {(i, i) for i in range(6)} <= set(want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(3, 40), st.lists(st.sampled_from("kkkkkkrid"), min_size=40, max_size=40), st.integers(0, 3), st.integers(2, 60), st.integers(0, 2**32 - 1))
+def test_passages_hold_every_alignment_that_counts(size, edits, often, vocabulary, seed):
+    """Words kept, replaced, inserted after, deleted; any frequencies of the pairs."""
+    rng = np.random.default_rng(seed)
+    item = [f"w{i}" for i in rng.integers(0, vocabulary, size)]
+    text = [f"x{i}" for i in range(rng.integers(0, 30))]
+    for i, (word, edit) in enumerate(zip(item, edits, strict=False)):
+        text += {"k": [word], "r": [f"y{i}"], "i": [word, *[f"z{i}v{j}" for j in range(1 + often)]], "d": []}[edit]
+    text += [f"v{i}" for i in range(rng.integers(0, 30))]
+    items = decontam.Items.of([1, 2], [" ".join(item), "other words of a further item w1 w2 w3"], 3, decontam.LEAK)
+    items = items.rare(rng.integers(0, 4, len(items.grams)) ** 3, decontam.KEEP)
+    w = textkit.words(pa.array(["w1 w2 w0", " ".join(text), None]))
+    which, lo, hi = decontam.passages(w, items, decontam.LEAK)
+    best = smith_waterman(item, text)
+    words_of = [t.encode() for t in ["w1", "w2", "w0", *text]]
+    found = max((smith_waterman([x.encode() for x in item], words_of[a:b]) for k, a, b in zip(which, lo, hi, strict=True) if k == 0 and a >= 3), default=0)
+    if best >= decontam.LEAK * decontam.MATCH * size and best > decontam.MATCH:
+        assert found == best
+
+
+def test_frequent_pairs_are_given_up_and_pay_for_it():
+    items = decontam.Items.of([1], ["of the one of the two of the three of the four of the five"], 3, decontam.LEAK)
+    frequency = np.where(items.many > 1, 1000, 1)
+    rare = items.rare(frequency, decontam.KEEP)
+    assert len(rare.grams) < len(items.grams) and rare.need[0] == items.need[0] - 2 * (items.many.sum() - rare.many.sum())
+    assert items.rare(np.zeros(len(items.grams), np.int64), decontam.KEEP).need[0] == items.need[0]
