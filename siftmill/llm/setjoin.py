@@ -16,9 +16,10 @@ that all pairs are compared and no task holds more than one such bucket.
 Comparison is in two steps: the sketches drop pairs that are far below the threshold
 (estimates more than ``SIGMAS`` standard deviations below it, which depend on how many
 grams fill the bins; pairs of about 30 grams or fewer are never dropped), and the exact
-Jaccard of the sets decides about the others. Runs are repeated until the recall,
-estimated from how many runs found each pair (Chao's estimate of those never
-found), reaches the target, for all pairs and for those that met in split buckets only.
+Jaccard of the sets decides about the others. A round has as many runs as a pair at the
+threshold needs for the target recall if all its buckets are split ``DEPTH`` times. Rounds
+are repeated until the recall, estimated from how many runs found each pair (Chao's
+estimate of those never found), reaches the target.
 Where ``2 ** RUN_BITS`` runs don't reach it, that is an error.
 
 Documents with one and the same set are collapsed before the join, so a group of
@@ -52,9 +53,8 @@ BINS, LIMIT, DEPTH, SIGMAS = 64, 1000, 3, 5.0
 RATE, ALIKE = 2.0, 0.25
 #: Large buckets of which the list may be broadcast; more are joined by shuffling.
 BROADCAST_PATHS = 50_000
-#: Runs are told apart by the lowest bits of a path; the next bit is set in split buckets.
+#: Runs are told apart by the lowest bits of a path.
 RUN_BITS = 6
-_SPLIT = 1 << RUN_BITS
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, threshold: float, runs: r
         for run in runs:
             mixed = textkit.mix(g ^ _seed(run))
             chosen = np.flatnonzero(mixed < limit)
-            paths.append(textkit.mix(g[chosen] + _seed(run)) >> np.uint64(RUN_BITS + 1) << np.uint64(RUN_BITS + 1) | np.uint64(run % (1 << RUN_BITS)))
+            paths.append(textkit.mix(g[chosen] + _seed(run)) >> np.uint64(RUN_BITS) << np.uint64(RUN_BITS) | np.uint64(run % (1 << RUN_BITS)))
             owners.append(row[chosen])
         path, owner = np.concatenate(paths), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
@@ -153,7 +153,7 @@ def _split(batches: Iterator[pa.RecordBatch], threshold: float, level: int) -> I
         r, i = np.nonzero(chosen)
         value = _sketches(table)[r, i].astype(np.uint64)
         low = np.uint64((1 << RUN_BITS) - 1)
-        child = textkit.mix(place[r, i] ^ (value + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) & ~(low | np.uint64(_SPLIT)) | np.uint64(_SPLIT) | path[r] & low
+        child = textkit.mix(place[r, i] ^ (value + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) & ~low | path[r] & low
         out = table.take(pa.array(r)).set_column(0, "path", pa.array(child.view(np.int64)))
         yield from out.to_batches()
 
@@ -223,14 +223,14 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     """Jaccard of the pairs (rows with b) by the sets (rows with grams) of the same path."""
     for table in runs_of(batches, "path", 5000):
         path, doc, other = table.column("path").to_numpy(), table.column("a").to_numpy(), table.column("b").to_numpy(zero_copy_only=False)
-        mask, split = table.column("runs").to_numpy(zero_copy_only=False), table.column("split").to_pylist()
+        mask = table.column("runs").to_numpy(zero_copy_only=False)
         grams = table.column("grams").to_pylist()
         sets: dict[tuple[int, int], np.ndarray] = {}
         for i, raw in enumerate(grams):
             if raw is not None:
                 sets[path[i], doc[i]] = np.frombuffer(raw, np.uint32)
         rows = [i for i, raw in enumerate(grams) if raw is None]
-        a, b, j, r, s = [], [], [], [], []
+        a, b, j, r = [], [], [], []
         for i in rows:
             x, y = sets[path[i], doc[i]], sets[path[i], int(other[i])]
             both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) + len(y) < 64 else int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
@@ -240,9 +240,8 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
                 b.append(int(other[i]))
                 j.append(value)
                 r.append(int(mask[i]))
-                s.append(split[i])
         if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64()), pa.array(r, pa.int64()), pa.array(s, pa.bool_())], ["a", "b", "jaccard", "runs", "split"])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64()), pa.array(r, pa.int64())], ["a", "b", "jaccard", "runs"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -257,7 +256,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             doc += [d] * len(paths)
             grams += [raw] * len(paths)
         size = len(path)
-        yield pa.record_batch([pa.array(path, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.array(grams, pa.binary())], ["path", "a", "b", "runs", "split", "grams"])
+        yield pa.record_batch([pa.array(path, pa.int64()), pa.array(doc, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(grams, pa.binary())], ["path", "a", "b", "runs", "grams"])
 
 
 def _large(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -269,7 +268,7 @@ def _large(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     join = F.broadcast if many <= BROADCAST_PATHS else lambda x: x
     small = rows.join(join(counts.select("path")), "path", "left_anti")
     # how often two sets of a bucket share the gram at one place of the sketch, another place for each bucket
-    place = F.substring("sketch", F.pmod(F.shiftright("path", RUN_BITS + 1), F.lit(BINS)).cast("int") + 1, F.lit(1))
+    place = F.substring("sketch", F.pmod(F.shiftright("path", RUN_BITS), F.lit(BINS)).cast("int") + 1, F.lit(1))
     large = rows.join(join(counts), "path")
     shared = large.groupBy("path", place.alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("share"))
     alike = cut(shared.where(F.col("share") >= ALIKE).select("path", F.lit(True).alias("alike")))
@@ -278,7 +277,7 @@ def _large(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
 
 def _blocks(large: DataFrame) -> DataFrame:
     """Rows of large buckets to one bucket for every two blocks of ``LIMIT / 2`` sets: sides 1 and 2; within a block: side 0."""
-    keep = F.lit((1 << (RUN_BITS + 1)) - 1)
+    keep = F.lit((1 << RUN_BITS) - 1)
     size = F.ceil(F.col("n") / F.lit(max(LIMIT // 2, 1)))
     dealt = large.withColumn("own", F.pmod(F.xxhash64("doc_id", "path"), size)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
     path = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
@@ -319,27 +318,19 @@ def _run(docs: DataFrame, n: int, threshold: float, runs: range, first: bool) ->
     copies = signed.select("sign", "size", "doc_id").join(sets.select("sign", "size", F.col("doc_id").alias("rep")), ["sign", "size"]).select("rep", "doc_id").where("rep <> doc_id").distinct() if first else None
     found = _buckets(sets, threshold).repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda it: _candidates(it, threshold), "a long, b long, path long")
     run = F.expr(f"shiftleft(1L, CAST(path & {(1 << RUN_BITS) - 1} AS INT))")
-    pairs = cut(found.groupBy("a", "b").agg(F.min("path").alias("path"), F.bit_or(run).alias("runs"), F.bool_and(F.col("path").bitwiseAND(F.lit(_SPLIT)) != 0).alias("split")))
+    pairs = cut(found.groupBy("a", "b").agg(F.min("path").alias("path"), F.bit_or(run).alias("runs")))
     needed = pairs.select("path", F.explode(F.array("a", "b")).alias("doc_id")).distinct().groupBy("doc_id").agg(F.collect_list("path").alias("paths"))
-    grams = docs.join(needed, "doc_id").select("doc_id", "text", "paths").mapInArrow(lambda it: _with_sets(it, n), "path long, a long, b long, runs long, split boolean, grams binary")
-    both = grams.unionByName(pairs.select("path", "a", "b", "runs", "split", F.lit(None).cast("binary").alias("grams")))
-    exact = both.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda it: _exact(it, threshold), "a long, b long, jaccard double, runs long, split boolean")
+    grams = docs.join(needed, "doc_id").select("doc_id", "text", "paths").mapInArrow(lambda it: _with_sets(it, n), "path long, a long, b long, runs long, grams binary")
+    both = grams.unionByName(pairs.select("path", "a", "b", "runs", F.lit(None).cast("binary").alias("grams")))
+    exact = both.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(lambda it: _exact(it, threshold), "a long, b long, jaccard double, runs long")
     return cut(exact), copies
 
 
 def _estimate(pairs: DataFrame) -> float:
-    """Share of the pairs that is found, by how often the runs found each: of all, or of those from split buckets only if that is less."""
-    rows = pairs.groupBy("split", F.bit_count("runs").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
-    shares = [1.0]
-    for kinds in ((True, False), (True,)):
-        counts: dict[int, int] = {}
-        for r in rows:
-            if r["split"] in kinds:
-                counts[r["k"]] = counts.get(r["k"], 0) + r["n"]
-        seen, once, twice = sum(counts.values()), counts.get(1, 0), counts.get(2, 0)
-        if seen:
-            shares.append(seen / (seen + once * (once - 1) / (2 * (twice + 1))))
-    return min(shares)
+    """Share of the pairs that is found, by how often the runs found each."""
+    counts = {r["k"]: r["n"] for r in pairs.groupBy(F.bit_count("runs").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen, once, twice = sum(counts.values()), counts.get(1, 0), counts.get(2, 0)
+    return seen / (seen + once * (once - 1) / (2 * (twice + 1))) if seen else 1.0
 
 
 def _each(recall: float) -> int:
@@ -369,9 +360,9 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
         if upto >= most:
             raise RuntimeError(f"the recall is {share:.3f} by estimate after {most} runs, not {recall}")
         more, _ = _run(docs, n, threshold, range(upto, min(upto + each, most)), False)
-        found = cut(found.unionByName(more).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"), F.bit_or("runs").alias("runs"), F.bool_and("split").alias("split")))
+        found = cut(found.unionByName(more).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"), F.bit_or("runs").alias("runs")))
         upto += each
-    return found.drop("runs", "split"), copies
+    return found.drop("runs"), copies
 
 
 def joined(docs: DataFrame, **options: float) -> DataFrame:

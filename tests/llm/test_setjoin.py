@@ -129,10 +129,11 @@ def test_every_large_bucket_is_split_somewhere():
         assert set(out.column("doc_id").to_pylist()) == set(paths.tolist())
 
 
-def test_recall_of_split_buckets_counts_by_itself(spark):
-    rows = [(i, i + 1, 0.5, 15, False) for i in range(5000)] + [(i, i + 2, 0.5, 1 << i % 4, True) for i in range(20)]
-    assert setjoin._estimate(spark.createDataFrame(rows, "a long, b long, jaccard double, runs long, split boolean")) < 0.5
-    assert setjoin._estimate(spark.createDataFrame(rows[:5000], "a long, b long, jaccard double, runs long, split boolean")) == 1
+def test_estimate_of_the_recall(spark):
+    rows = [(i, i + 1, 0.5, 31 if i % 10 else 1 << i % 5) for i in range(5000)]
+    assert setjoin._estimate(spark.createDataFrame(rows, "a long, b long, jaccard double, runs long")) < 0.1
+    assert setjoin._estimate(spark.createDataFrame([r for r in rows if r[3] == 31], "a long, b long, jaccard double, runs long")) == 1
+    assert setjoin._each(0.98) == 5
 
 
 def test_sketches_estimate_jaccard():
