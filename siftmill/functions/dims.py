@@ -60,11 +60,6 @@ def language_class(tag: str | None) -> str:
     return pattern.strip()[1:-1] if pattern else r"a-zA-Z0-9\s"
 
 
-def stopwords_table(spark: SparkSession) -> DataFrame:
-    """(lang, word): a table of fixed size, small enough to broadcast."""
-    return spark.createDataFrame([(c, w) for c, words in sorted(stopwords().items()) for w in sorted(words)], "lang string, word string")
-
-
 def languages_table(spark: SparkSession) -> DataFrame:
     """(code, name, char_class)"""
     return spark.createDataFrame([(c, n, language_class(c)) for c, (n, _) in sorted(languages().items()) if n], "code string, name string, char_class string")

@@ -3,12 +3,24 @@
 Tokens are runs of letters and digits, or single other signs, of the lower-cased text
 (CJK languages: runs of ASCII letters, digits and ``_``, or single signs, case kept).
 Ties are broken by first position and then by the string.
+
+A row's work needs its row only, so nothing here shuffles: a batch goes to Python once as
+Arrow and comes back as the rows that the query asks for, no token ever becomes a row of
+Spark. Rows that share a key are each handled by itself; a null or empty text has no tokens
+and no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
 
 from . import dims
 
@@ -47,124 +59,215 @@ def clean_keyword(word: Column) -> Column:
     return F.when(F.length(letters) >= 3, letters).otherwise("")
 
 
-def stop_lang(lang: Column) -> Column:
-    """The language whose stop words count: English where there are none."""
-    return F.when(F.lower(lang).isin(*sorted(dims.stopwords())), F.lower(lang)).otherwise("en")
+# the same in Python, a row at a time within an Arrow batch
 
+_SPACE = " \t\n\x0b\f\r"
+_TOKEN = re.compile(r"[^\W_]+|[^\w \t\n\x0b\f\r]|_")
+_CJK_TOKEN = re.compile(CJK_TOKEN)
+_ENDS, _SPACES, _NO_LETTERS = re.compile("[.!?]+"), re.compile(r"[ \t\n\x0b\f\r]+"), re.compile("[^A-Za-z]")
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+#: Bytes of text that a batch of results stands for.
+_BYTES = 1 << 24
 
-def token_table(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, lang, pos, token, n_tokens, is_stop): stop words come by a broadcast table of fixed size."""
-    each = df.select(F.col(key).alias(key), stop_lang(F.col(lang)).alias("lang"), tokens(F.col(text)).alias("t")).select(key, "lang", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "token"))
-    stop = dims.stopwords_table(df.sparkSession).withColumn("is_stop", F.lit(True))
-    return each.join(F.broadcast(stop.withColumnRenamed("word", "token")), ["lang", "token"], "left").select(key, "lang", "pos", "token", "n_tokens", F.coalesce("is_stop", F.lit(False)).alias("is_stop"))
 
+def tokens_of(text: str, lang: str | None = None) -> list[str]:
+    return _CJK_TOKEN.findall(text) if lang in ("zh", "ja", "ko") else _TOKEN.findall(text.lower())
 
-def stopword_stats(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, n_tokens, n_stop)"""
-    return token_table(df, key, text, lang).groupBy(key).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("is_stop").cast("long")).alias("n_stop"))
 
+def sentences_of(text: str) -> list[str]:
+    return [x for x in (x.strip(_SPACE) for x in _ENDS.split(text)) if len(x.encode()) > 10]
 
-def keywords(df: DataFrame, key: str, text: str, lang: str, k: int = MAX_KEYWORDS) -> DataFrame:
-    """(key, token, freq, score, rank): the k most frequent tokens that are no stop words; score 1 + 1.5 * share."""
-    freq = token_table(df, key, text, lang).where("NOT is_stop").groupBy(key, "token").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first"), F.max("n_tokens").alias("n_tokens"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("freq"), "first", "token"))
-    top = freq.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select(key, "token", "freq", (F.col("freq") * 1.5 / F.col("n_tokens") + 1).alias("score"), "rank")
 
+def words_of(text: str) -> list[str]:
+    return [x for x in _SPACES.split(text) if x]
 
-def filtered_keywords(df: DataFrame, key: str, lang: str) -> DataFrame:
-    """Keywords(key, lang, token, score) cleaned: letters only, over three of them, no stop word; of equal forms the best score."""
-    stop = dims.stopwords_table(df.sparkSession).withColumnRenamed("word", "clean")
-    cleaned = df.withColumn("clean", clean_keyword(F.col("token"))).where("length(clean) > 3 AND clean <> 'unk'").withColumn("lang", stop_lang(F.col(lang)))
-    kept = cleaned.join(F.broadcast(stop), ["lang", "clean"], "left_anti")
-    return kept.groupBy(key, F.col("clean").alias("keyword")).agg(F.max("score").alias("score"))
 
+def clean_of(word: str) -> str:
+    letters = _NO_LETTERS.sub("", word).lower()
+    return letters if len(letters) >= 3 else ""
 
-def with_title(found: DataFrame, titles: DataFrame, key: str, lang: str, k: int = MAX_KEYWORDS) -> DataFrame:
-    """(key, keyword, score, rank): keywords(key, keyword, score) of titles(key, title, lang) boosted by half if in the title; other title words get 0.1."""
-    stop = dims.stopwords_table(found.sparkSession).withColumnRenamed("word", "keyword")
-    inside = titles.select(key, stop_lang(F.col(lang)).alias("lang"), F.explode(words(F.lower("title"))).alias("w")).select(key, "lang", clean_keyword(F.col("w")).alias("keyword")).where("keyword <> ''")
-    inside = inside.join(F.broadcast(stop), ["lang", "keyword"], "left_anti").select(key, "keyword").distinct().withColumn("in_title", F.lit(True))
-    some = found.select(key).distinct()
-    both = found.join(inside.join(some, key, "left_semi"), [key, "keyword"], "full")
-    score = F.when(F.col("score").isNull(), 0.1).when(F.col("in_title"), F.col("score") * 1.5).otherwise(F.col("score"))
-    scored = both.select(key, "keyword", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "keyword"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
+def keywords_of(text: str, lang: str | None, k: int | None = MAX_KEYWORDS) -> list[tuple[str, int, float]]:
+    """(token, freq, score) of the k most frequent tokens that are no stop words."""
+    every = tokens_of(text)
+    stop = dims.stopwords_for(lang)
+    counts = [x for x in Counter(every).items() if x[0] not in stop]  # in the order of first places
+    counts.sort(key=lambda x: -x[1])
+    return [(t, n, n * 1.5 / len(every) + 1) for t, n in counts[:k]]
 
-def position_score(i: Column, size: Column) -> Column:
-    """Value of a sentence's place: the end points 0.1 and 1.0 belong to the step below them."""
-    p = i.cast("double") / size
-    out = F.when(p > 1.0, 0.0)
-    for tenth in range(9, -1, -1):
-        out = out.when(p > tenth / 10, POSITIONS[tenth])
-    return out.otherwise(0.0)
 
+def filtered_of(found: list[tuple[str, int, float]], lang: str | None) -> dict[str, float]:
+    """Keywords cleaned: letters only, over three of them, no stop word; of equal forms the best score."""
+    stop = dims.stopwords_for(lang)
+    out: dict[str, float] = {}
+    for token, _, score in found:
+        clean = clean_of(token)
+        if len(clean) > 3 and clean != "unk" and clean not in stop:
+            out[clean] = max(score, out.get(clean, score))
+    return out
 
-def length_score(n: Column) -> Column:
-    return 1 - F.abs(MEAN_SENTENCE - n) / F.lit(float(MEAN_SENTENCE))
 
+def with_title_of(found: dict[str, float], title: str | None, lang: str | None) -> list[tuple[str, float]]:
+    """Keywords, the best first, boosted by half if in the title; other title words get 0.1. None without any keyword."""
+    if not found:
+        return []
+    stop = dims.stopwords_for(lang)
+    inside = {clean_of(w) for w in words_of((title or "").lower())} - {""} - stop
+    scored = {k: s * 1.5 if k in inside else s for k, s in found.items()} | {w: 0.1 for w in inside if w not in found}
+    return sorted(scored.items(), key=lambda x: (-x[1], x[0]))
+
+
+def position_score(i: int, size: int) -> float:
+    """Value of a sentence's place, from 1: the end points 0.1 and 1.0 belong to the step below them."""
+    p = i / size
+    return 0.0 if p > 1 else next((POSITIONS[t] for t in range(9, -1, -1) if p > t / 10), 0.0)
 
-def sentence_scores(df: DataFrame, key: str, title: str, text: str, lang: str) -> DataFrame:
-    """(key, idx, sentence, title_score, sbs, dbs, length_score, position_score, score) of every sentence.
+
+def scores_of(title: str | None, text: str, lang: str | None) -> list[tuple]:
+    """(idx, sentence, title_score, sbs, dbs, length_score, position_score, score) of every sentence.
 
     The four features weigh 1.5 (title), 2 (keywords), 1 and 1, over 4.
     """
-    stop = F.broadcast(dims.stopwords_table(df.sparkSession).withColumnRenamed("word", "token"))
-    base = df.select(F.col(key).alias(key), stop_lang(F.col(lang)).alias("lang"), F.col(title).alias("title"), F.col(text).alias("text"))
-    pieces = base.select(key, "lang", sentences(F.col("text")).alias("s")).select(key, "lang", F.size("s").alias("n"), F.posexplode("s").alias("idx", "sentence"))
-    each = pieces.withColumn("t", tokens(F.col("sentence")))
-    long = each.select(key, "lang", "idx", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "token"))
-    keys = keywords(base, key, "text", "lang", SUMMARY_KEYWORDS).select(key, "token", F.col("score").alias("kw"))
-    heads = base.select(key, "lang", F.explode(tokens(F.col("title"))).alias("token")).join(stop, ["lang", "token"], "left_anti")
-    n_heads = heads.groupBy(key).agg(F.count(F.lit(1)).alias("n_title"))
-    marked = long.join(keys, [key, "token"], "left").join(heads.select(key, "token", F.lit(1).alias("in_title")).distinct(), [key, "token"], "left")
-    order = Window.partitionBy(key, "idx").orderBy("pos")
-    hits = marked.where("kw IS NOT NULL").withColumn("gap", F.col("pos") - F.lag("pos").over(order)).withColumn("before", F.lag("kw").over(order))
-    dbs = hits.groupBy(key, "idx").agg(F.sum(F.col("before") * F.col("kw") / (F.col("gap") * F.col("gap")).cast("double")).alias("summ"), (F.count_distinct("token") + 1).alias("k"))
-    sums = marked.groupBy(key, "idx").agg(F.sum(F.coalesce("kw", F.lit(0.0))).alias("kw"), F.sum(F.coalesce("in_title", F.lit(0))).alias("hits"), F.max("n_tokens").alias("n_tokens"))
-    out = each.select(key, "idx", "n", "sentence").join(sums, [key, "idx"], "left").join(dbs, [key, "idx"], "left").join(n_heads, key, "left")
-    k = F.col("k").cast("double")
-    out = (
-        out.withColumn("title_score", F.coalesce(F.col("hits").cast("double") / F.col("n_title"), F.lit(0.0)))
-        .withColumn("sbs", F.coalesce(F.col("kw") / F.col("n_tokens") / 10.0, F.lit(0.0)))
-        .withColumn("dbs", F.coalesce(F.coalesce("summ", F.lit(0.0)) / (k * (k + 1.0)), F.lit(0.0)))
-        .withColumn("length_score", length_score(F.coalesce("n_tokens", F.lit(0))))
-        .withColumn("position_score", position_score(F.col("idx") + 1, F.col("n")))
-    )
-    score = (F.col("title_score") * 1.5 + (F.col("sbs") + F.col("dbs")) / 2.0 * 10.0 * 2.0 + F.col("length_score") + F.col("position_score")) / 4.0
-    return out.withColumn("score", score).select(key, "idx", "sentence", "title_score", "sbs", "dbs", "length_score", "position_score", "score")
+    pieces = sentences_of(text)
+    if not pieces:
+        return []
+    keys = {t: s for t, _, s in keywords_of(text, lang, SUMMARY_KEYWORDS)}
+    stop = dims.stopwords_for(lang)
+    heads = [t for t in tokens_of(title or "") if t not in stop]
+    inside = frozenset(heads)
+    out = []
+    for idx, piece in enumerate(pieces):
+        t = tokens_of(piece)
+        hits = [(pos, x, keys[x]) for pos, x in enumerate(t) if x in keys]
+        title_score = sum(x in inside for x in t) / len(heads) if heads else 0.0
+        sbs = sum(s for _, _, s in hits) / len(t) / 10.0 if t else 0.0
+        near = sum(a[2] * b[2] / float((b[0] - a[0]) ** 2) for a, b in zip(hits, hits[1:], strict=False))
+        k = len({x for _, x, _ in hits}) + 1
+        dbs = near / (k * (k + 1.0)) if hits else 0.0
+        length = 1 - abs(MEAN_SENTENCE - len(t)) / float(MEAN_SENTENCE)
+        position = position_score(idx + 1, len(pieces))
+        out.append((idx, piece, title_score, sbs, dbs, length, position, (title_score * 1.5 + (sbs + dbs) / 2.0 * 10.0 * 2.0 + length + position) / 4.0))
+    return out
+
+
+def summary_of(title: str | None, text: str, lang: str | None, top: int = MAX_SENTENCES) -> str | None:
+    """The best sentences in the order of the text; none without a title."""
+    best = sorted(scores_of(title, text, lang), key=lambda x: (-x[-1], x[0]))[:top] if title else []
+    return " ".join(x[1] for x in sorted(best)) if best else None
+
+
+def basic_of(text: str, lang: str | None, k: int = MAX_KEYWORDS) -> list[tuple[str, float]]:
+    """(keyword, score): the fallback without a tokenizer: cleaned words, term frequency."""
+    stop = dims.stopwords_for(lang)
+    counts = Counter(x for x in map(clean_of, words_of(text.lower())) if x and x not in stop)
+    total = sum(counts.values())
+    return [(w, n / total) for w, n in sorted(counts.items(), key=lambda x: -x[1])[:k]]
+
+
+def basic_summary_of(text: str, keywords: list[str], top: int = MAX_SENTENCES) -> str | None:
+    """Pieces between dots, by keywords in them and half a point for 6 to 29 words."""
+    pieces = [x for x in (x.strip(_SPACE) for x in text.split(".")) if x]
+    known = frozenset(keywords)
+    scored = []
+    for idx, piece in enumerate(pieces):
+        w = words_of(piece.lower())
+        scored.append((-(sum(x in known for x in w) + (0.5 if 5 < len(w) < 30 else 0.0)), idx, piece))
+    out = ". ".join(x[2] for x in sorted(scored)[:top])
+    return (out if out.endswith(".") else f"{out}.") if pieces else None
+
+
+def _each(df: DataFrame, key: str, columns: list[str], ddl: str, rows: Callable[..., list[tuple]]) -> DataFrame:
+    """(key, ddl...): the rows that ``rows`` makes of the columns' values, for each row of df."""
+    kind = dict(df.select(key).dtypes)[key]
+    names = [x.split()[0] for x in ddl.split(", ")]
+    types = [_ARROW[x.split()[1]] for x in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            owner: list[int] = []
+            seen = 0
+
+            def made() -> pa.RecordBatch:
+                values = list(zip(*out, strict=True)) if out else [[]] * len(types)
+                return pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], [key, *names])
+
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                new = rows(*values)
+                out += new
+                owner += [i] * len(new)
+                seen += sum(len(v) for v in values if isinstance(v, str))
+                if seen > _BYTES:
+                    yield made()
+                    out, owner, seen = [], [], 0
+            if out:
+                yield made()
+
+    return df.select(F.col(key), *[F.col(c) for c in columns]).mapInArrow(run, f"`{key}` {kind}, {ddl}")
+
+
+def stopword_stats(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(key, n_tokens, n_stop)"""
+
+    def rows(t: str | None, c: str | None) -> list[tuple]:
+        counts = Counter(tokens_of(t or ""))
+        stop = dims.stopwords_for(c)
+        return [(counts.total(), sum(n for w, n in counts.items() if w in stop))] if counts else []
+
+    return _each(df, key, [text, lang], "n_tokens long, n_stop long", rows)
+
+
+def keywords(df: DataFrame, key: str, text: str, lang: str, k: int = MAX_KEYWORDS) -> DataFrame:
+    """(key, token, freq, score, rank): the k most frequent tokens that are no stop words; score 1 + 1.5 * share."""
+    return _each(df, key, [text, lang], "token string, freq long, score double, rank int", lambda t, c: [(*x, i) for i, x in enumerate(keywords_of(t or "", c, k), 1)])
+
+
+def filtered_keywords(df: DataFrame, key: str, text: str, lang: str, k: int = MAX_KEYWORDS) -> DataFrame:
+    """(key, keyword, score): cleaned keywords of each row."""
+    return _each(df, key, [text, lang], "keyword string, score double", lambda t, c: list(filtered_of(keywords_of(t or "", c, k), c).items()))
+
+
+def sentence_scores(df: DataFrame, key: str, title: str, text: str, lang: str) -> DataFrame:
+    """(key, idx, sentence, title_score, sbs, dbs, length_score, position_score, score) of every sentence."""
+    ddl = "idx int, sentence string, title_score double, sbs double, dbs double, length_score double, position_score double, score double"
+    return _each(df, key, [title, text, lang], ddl, lambda h, t, c: scores_of(h, t or "", c))
 
 
 def summary(df: DataFrame, key: str, title: str, text: str, lang: str, top: int = MAX_SENTENCES) -> DataFrame:
     """(key, summary): the best sentences in the order of the text; none without a title."""
-    scored = sentence_scores(df.where(F.length(F.coalesce(title, F.lit(""))) > 0), key, title, text, lang)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "idx"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top)
-    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sentence"))), lambda x: x.sentence), " ").alias("summary"))
+    return _each(df, key, [title, text, lang], "summary string", lambda h, t, c: [(s,) for s in [summary_of(h, t or "", c, top)] if s is not None])
 
 
 def basic_keywords(df: DataFrame, key: str, text: str, lang: str, k: int = MAX_KEYWORDS) -> DataFrame:
-    """(key, keyword, score, rank): the fallback without a tokenizer: cleaned words, term frequency."""
-    stop = F.broadcast(dims.stopwords_table(df.sparkSession).withColumnRenamed("word", "keyword"))
-    each = df.select(F.col(key).alias(key), stop_lang(F.col(lang)).alias("lang"), F.posexplode(words(F.lower(F.col(text)))).alias("pos", "w")).select(key, "lang", "pos", clean_keyword(F.col("w")).alias("keyword"))
-    freq = each.where("keyword <> ''").join(stop, ["lang", "keyword"], "left_anti").groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first"))
-    scored = freq.withColumn("score", F.col("freq") / F.sum("freq").over(Window.partitionBy(key)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("freq"), "first", "keyword"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "keyword", "score", "rank")
-
-
-def basic_summary(df: DataFrame, key: str, text: str, found: DataFrame, top: int = MAX_SENTENCES) -> DataFrame:
-    """(key, summary): pieces between dots, by keywords in them and half a point for 6 to 29 words."""
-    piece = F.transform(F.split(F.col(text), r"\."), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    each = df.select(F.col(key).alias(key), F.posexplode(F.filter(piece, lambda x: x != "")).alias("idx", "sentence"))
-    lists = found.groupBy(key).agg(F.collect_list("keyword").alias("ks"))
-    scored = each.join(lists, key, "left").withColumn("w", words(F.lower("sentence")))
-    hits = F.size(F.filter("w", lambda x: F.array_contains(F.coalesce("ks", F.array().cast("array<string>")), x)))
-    n = F.size("w")
-    scored = scored.withColumn("score", hits + F.when((n > 5) & (n < 30), 0.5).otherwise(0.0))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "idx"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x.sentence), ". ")
-    return best.groupBy(key).agg(joined.alias("s")).select(key, F.when(F.col("s").endswith("."), F.col("s")).otherwise(F.concat("s", F.lit("."))).alias("summary"))
+    """(key, keyword, score, rank): the fallback without a tokenizer."""
+    return _each(df, key, [text, lang], "keyword string, score double, rank int", lambda t, c: [(*x, i) for i, x in enumerate(basic_of(t or "", c, k), 1)])
+
+
+def basic_summary(df: DataFrame, key: str, text: str, lang: str, k: int = MAX_KEYWORDS, top: int = MAX_SENTENCES) -> DataFrame:
+    """(key, summary): the fallback's summary, by its keywords."""
+    return _each(df, key, [text, lang], "summary string", lambda t, c: [(s,) for s in [basic_summary_of(t or "", [w for w, _ in basic_of(t or "", c, k)], top)] if s is not None])
+
+
+_DIGEST = StructType([StructField("keywords", ArrayType(StringType())), StructField("scores", MapType(StringType(), DoubleType())), StructField("summary", StringType())])
+_DIGEST_ARROW = pa.struct([("keywords", pa.list_(pa.string())), ("scores", pa.map_(pa.string(), pa.float64())), ("summary", pa.string())])
+
+
+def digest(title: Column, text: Column, lang: Column, k: int = MAX_KEYWORDS, top: int = MAX_SENTENCES, tokenizer: bool = True) -> Column:
+    """struct(keywords, scores, summary) of an article: the list is cut to k, the scores are not.
+
+    Without the tokenizer: the fallback's keywords and summary.
+    """
+
+    def one(h: str | None, t: str, c: str | None) -> dict:
+        if tokenizer:
+            ranked, short = with_title_of(filtered_of(keywords_of(t, c, k), c), h, c), summary_of(h, t, c, top)
+        else:
+            ranked = basic_of(t, c, k)
+            short = basic_summary_of(t, [w for w, _ in ranked], top)
+        return {"keywords": [w for w, _ in ranked[:k]], "scores": ranked, "summary": short or ""}
+
+    def run(h: pa.Array, t: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array([one(*x) for x in zip(h.to_pylist(), pc.fill_null(t, "").to_pylist(), c.to_pylist(), strict=True)], _DIGEST_ARROW)
+
+    run.__annotations__ = {"h": pa.Array, "t": pa.Array, "c": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _DIGEST)(title, text, lang)

@@ -123,9 +123,7 @@ def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    found = nlp.keywords(docs, "doc_id", "text", "lang").join(docs.select("doc_id", "lang"), "doc_id")
-    return nlp.filtered_keywords(found, "doc_id", "lang").withColumn("score", F.round("score", 9))
+    return nlp.filtered_keywords(_docs(spark, sf_dir), "doc_id", "text", "lang").withColumn("score", F.round("score", 9))
 
 
 def keywords_basic(spark: SparkSession, sf_dir: str) -> DataFrame:

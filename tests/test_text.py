@@ -96,13 +96,35 @@ def test_sentences_and_scores(spark):
 
 
 def test_keywords_with_title_and_fallbacks(spark):
-    found = spark.createDataFrame([(1, "solar", 1.2), (1, "wind", 1.4)], "id int, keyword string, score double")
-    titles = spark.createDataFrame([(1, "The Solar Farm", "en")], "id int, title string, lang string")
-    got = {r["keyword"]: (round(r["score"], 6), r["rank"]) for r in nlp.with_title(found, titles, "id", "lang").collect()}
-    assert got == {"solar": (1.8, 1), "wind": (1.4, 2), "farm": (0.1, 3)}
+    got = nlp.with_title_of({"solar": 1.2, "wind": 1.4}, "The Solar Farm", "en")
+    assert [(k, round(s, 6)) for k, s in got] == [("solar", 1.8), ("wind", 1.4), ("farm", 0.1)]
+    assert nlp.with_title_of({}, "The Solar Farm", "en") == []
     df = spark.createDataFrame([(1, "Wind farms, wind parks. A farm of the sea has wind and more wind than land.", "en")], "id int, text string, lang string")
     basic = nlp.basic_keywords(df, "id", "text", "lang", 2)
     assert [r["keyword"] for r in basic.orderBy("rank").collect()][0] == "wind"
-    assert nlp.basic_summary(df, "id", "text", basic, 1).first()["summary"] == "A farm of the sea has wind and more wind than land."
+    assert nlp.basic_summary(df, "id", "text", "lang", 2, 1).first()["summary"] == "A farm of the sea has wind and more wind than land."
     cjk = spark.createDataFrame([("ab1 中文c", "zh")], "t string, l string").select(nlp.tokens(F.col("t"), F.col("l"))).first()[0]
     assert cjk == ["ab1", "中", "文", "c"]
+    assert nlp.tokens_of("ab1 中文c", "zh") == cjk
+
+
+def test_digest_cuts_the_list_and_not_the_scores(spark):
+    df = spark.createDataFrame([("Solar Farm", "Solar power grows. " * 3 + "Wind power falls everywhere tonight. Tidal power stays.", "en"), (None, None, None), ("Farm", "", "en")], "title string, text string, lang string")
+    rows = [r[0] for r in df.select(nlp.digest(F.col("title"), F.col("text"), F.col("lang"), 2, 1)).collect()]
+    assert rows[0]["keywords"] == ["solar", "power"] and set(rows[0]["scores"]) == {"solar", "power", "farm"} and rows[0]["summary"]
+    assert all(r["keywords"] == [] and r["scores"] == {} and r["summary"] == "" for r in rows[1:])
+    basic = df.select(nlp.digest(F.col("title"), F.col("text"), F.col("lang"), 2, 1, tokenizer=False)).first()[0]
+    assert basic["keywords"] == ["power", "solar"] and basic["summary"].endswith(".")
+
+
+def test_tokens_of_python_and_of_spark_agree(spark):
+    texts = ["Straße 12,5 km_x!", "İstanbul ΣΑΣ", "a\u00a0b\u2003c", "日本語テキスト", "e\u0301 ½ Ⅷ ²", "tab\tnew\x0bline\x0c", "😀👍🏽 ok"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(nlp.tokens(F.col("t"))).collect()] == [nlp.tokens_of(t) for t in texts]
+    assert [r[0] for r in df.select(nlp.sentences(F.col("t"))).collect()] == [nlp.sentences_of(t) for t in texts]
+
+
+def test_nothing_of_the_text_is_shuffled(spark):
+    df = spark.createDataFrame([(1, "t", "x", "en")], "id int, title string, text string, lang string")
+    for out in (nlp.keywords(df, "id", "text", "lang"), nlp.summary(df, "id", "title", "text", "lang"), nlp.sentence_scores(df, "id", "title", "text", "lang"), nlp.stopword_stats(df, "id", "text", "lang")):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
