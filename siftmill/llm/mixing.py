@@ -16,7 +16,8 @@ share their place in the order and are taken or left together. A null doc_id is
 like any other. A weight that is not given is ``other``; a family whose weights are all 0
 gets nothing. An empty table gives an empty result. Budgets are rounded down, so less
 than one token for each child stays unspent. Other columns are ignored (or, in
-``mixed``, kept).
+``mixed``, kept; columns named mix_epoch or mix_key give way to those that it adds). Names
+and weights may hold any signs.
 """
 
 from __future__ import annotations
@@ -47,12 +48,28 @@ class Mix:
     max_epochs: int = 3
     seed: int = 17
 
-    def case(self, column: str, weights: dict[str, int]) -> str:
-        return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {self.other} END"
+    def weight(self, column: str, weights: dict[str, int]) -> Column:
+        out = F.lit(self.other)
+        for k, v in weights.items():
+            out = F.when(F.col(column) == F.lit(k), v).otherwise(out)
+        return out.cast("long")
 
-    def domain(self, test: str) -> str:
-        """SQL for the domain of ``source``; ``test`` is a format of (column, pattern)."""
-        return "CASE " + " ".join(f"WHEN {test.format('source', p)} THEN '{d}'" for p, d in self.domains) + " WHEN source = '' THEN '' ELSE 'other' END"
+    def domain(self) -> Column:
+        """The domain of ``source``."""
+        out = F.when(F.col("source") == "", "").otherwise("other")
+        for pattern, name in reversed(self.domains):
+            out = F.when(F.col("source").rlike(pattern), F.lit(name)).otherwise(out)
+        return out
+
+    def weight_sql(self, column: str, weights: dict[str, int]) -> str:
+        return f"CASE {column} " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in weights.items()) + f" ELSE {self.other} END" if weights else str(self.other)
+
+    def domain_sql(self) -> str:
+        return "CASE " + " ".join(f"WHEN regexp_matches(source, {_quoted(p)}) THEN {_quoted(d)}" for p, d in self.domains) + " WHEN source = '' THEN '' ELSE 'other' END"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 LEAF = ["domain", "lang", "source"]
@@ -60,21 +77,21 @@ LEAF = ["domain", "lang", "source"]
 
 def _located(docs: DataFrame, mix: Mix) -> DataFrame:
     named = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    return named.select("doc_id", F.expr(mix.domain("{} RLIKE '{}'")).alias("domain"), "lang", "source", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"))
+    return named.select("doc_id", mix.domain().alias("domain"), "lang", "source", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def _key(mix: Mix, epoch: Column, doc_id: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 16)
 
 
-def _divide(children: DataFrame, parent: list[str], name: str, weight: str) -> DataFrame:
+def _divide(children: DataFrame, parent: list[str], name: str, weight: Column) -> DataFrame:
     """Adds ``budget`` to children(parent..., name, cap, parent_budget): water-filling by integers."""
     family = Window.partitionBy(*[F.col(p) for p in parent]) if parent else Window.partitionBy(F.lit(0))
     order = family.orderBy(F.expr("cap / CAST(w AS DOUBLE)"), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
-    out = children.withColumn("w", F.expr(f"CAST({weight} AS BIGINT)")).where("w > 0")
+    out = children.withColumn("w", weight).where("w > 0")
     out = out.withColumn("rest", F.col("parent_budget") - F.coalesce(F.sum("cap").over(before), zero)).withColumn("rest_w", F.sum("w").over(family) - F.coalesce(F.sum("w").over(before), zero))
     out = out.withColumn("full", F.min(F.expr("CASE WHEN cap * rest_w <= w * rest THEN 1 ELSE 0 END")).over(upto))
     open_w, taken = F.sum(F.expr("CASE WHEN full = 0 THEN w ELSE 0 END")).over(family), F.sum(F.expr("CASE WHEN full = 1 THEN cap ELSE 0 END")).over(family)
@@ -87,12 +104,12 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     tops = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    total = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * mix.percent).alias("x")).select(F.expr("x div 100").alias("parent_budget"))
-    tops = _divide(tops.crossJoin(total), [], "domain", mix.case("domain", mix.domain_weights))
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] * mix.percent // 100
+    tops = _divide(tops.withColumn("parent_budget", F.lit(total).cast("long")), [], "domain", mix.weight("domain", mix.domain_weights))
     langs = langs.join(tops.select("domain", F.col("budget").alias("parent_budget")), "domain")
-    langs = _divide(langs, ["domain"], "lang", mix.case("lang", mix.lang_weights))
+    langs = _divide(langs, ["domain"], "lang", mix.weight("lang", mix.lang_weights))
     below = leaves.join(langs.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"])
-    return _divide(below, ["domain", "lang"], "source", mix.case("source", mix.source_weights)).drop("cap")
+    return _divide(below, ["domain", "lang"], "source", mix.weight("source", mix.source_weights)).drop("cap")
 
 
 def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +119,7 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     4096 ranges of the seeded order, then the order within the one range that the budget ends in.
     """
     slim = cut(_located(docs, mix).where("n_tokens > 0"))
-    leaves = budgets(slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), mix)
+    leaves = budgets(cut(slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))), mix)
     leaves = leaves.withColumn("whole", F.least(F.expr("budget div tokens"), F.lit(mix.max_epochs).cast("long")))
     leaves = cut(leaves.withColumn("rest", F.expr(f"CASE WHEN whole >= {mix.max_epochs} THEN 0 ELSE budget - whole * tokens END")))
     join = _joiner(leaves.count())
@@ -141,10 +158,11 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     Texts are not shuffled: the leaves' plan comes to them.
     """
     mix = mix or Mix()
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_epoch", "mix_key")])
     _, leaves = plan(docs, mix)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     named = docs.select(row, F.col("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("text").rlike(TOKEN), F.lit(False)).alias("some"))
-    located = named.where("some").select("row", "doc_id", F.expr(mix.domain("{} RLIKE '{}'")).alias("domain"), "lang", "source")
+    located = named.where("some").select("row", "doc_id", mix.domain().alias("domain"), "lang", "source")
     return _epochs(located, leaves, mix).select("row.*", F.col("epoch").alias("mix_epoch"), F.col("key").alias("mix_key"))
 
 
@@ -165,13 +183,13 @@ def _divide_sql(source: str, parent: str, name: str, weight: str) -> str:
 
 def sql(mix: Mix | None = None) -> str:
     mix = mix or Mix()
-    tops = _divide_sql("SELECT domain, sum(cap) AS cap, (SELECT sum(tokens) * {p} // 100 FROM leaves) AS parent_budget FROM leaves GROUP BY domain".format(p=mix.percent), "1", "domain", mix.case("domain", mix.domain_weights))
-    langs = _divide_sql("SELECT l.domain, l.lang, sum(l.cap) AS cap, max(t.budget) AS parent_budget FROM leaves l JOIN tops t USING (domain) GROUP BY l.domain, l.lang", "domain", "lang", mix.case("lang", mix.lang_weights))
-    ends = _divide_sql("SELECT l.*, g.budget AS parent_budget FROM leaves l JOIN langs g USING (domain, lang)", "domain, lang", "source", mix.case("source", mix.source_weights))
+    tops = _divide_sql("SELECT domain, sum(cap) AS cap, (SELECT sum(tokens) * {p} // 100 FROM leaves) AS parent_budget FROM leaves GROUP BY domain".format(p=mix.percent), "1", "domain", mix.weight_sql("domain", mix.domain_weights))
+    langs = _divide_sql("SELECT l.domain, l.lang, sum(l.cap) AS cap, max(t.budget) AS parent_budget FROM leaves l JOIN tops t USING (domain) GROUP BY l.domain, l.lang", "domain", "lang", mix.weight_sql("lang", mix.lang_weights))
+    ends = _divide_sql("SELECT l.*, g.budget AS parent_budget FROM leaves l JOIN langs g USING (domain, lang)", "domain, lang", "source", mix.weight_sql("source", mix.source_weights))
     key = f"substr(md5(concat_ws(':', '{mix.seed}', CAST(epoch AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), 'null'))), 1, 16)"
     return f"""
 WITH named AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS BIGINT) AS n_tokens FROM documents),
-slim AS (SELECT doc_id, {mix.domain("regexp_matches({}, '{}')")} AS domain, lang, source, n_tokens FROM named WHERE n_tokens > 0),
+slim AS (SELECT doc_id, {mix.domain_sql()} AS domain, lang, source, n_tokens FROM named WHERE n_tokens > 0),
 leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {mix.max_epochs} AS BIGINT) AS cap FROM slim GROUP BY ALL),
 tops AS ({tops}), langs AS ({langs}), ends AS ({ends}),
 goals AS (SELECT domain, lang, source, least(budget // tokens, {mix.max_epochs}) AS whole, CASE WHEN budget // tokens >= {mix.max_epochs} THEN 0 ELSE budget % tokens END AS rest FROM ends),

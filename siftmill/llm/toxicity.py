@@ -24,7 +24,8 @@ that has it). Insults with a letter inserted after each of their letters are not
 of them then span 7, more than ``SPAN``. A null or empty text has no window; a text of fewer than K letters has none
 that can score. Repeated rows are each reported, a null doc_id stays null. Texts are read
 whole. Letters beyond a to z fall into five classes. Other columns are ignored. Without
-labelled documents of both classes: ValueError.
+labelled documents of both classes: ValueError. Where few labels set nothing apart by ``ODDS``,
+weaker evidence counts, and without any, windows taken at random; the model is as good as that.
 """
 
 from __future__ import annotations
@@ -193,17 +194,19 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, seed: int =
     for i, number in enumerate(grams):
         counts[y[i], np.unique(number[number > 0])] += 1
     odds = np.log((counts[1] + 0.5) / (len(toxic) + 1)) - np.log((counts[0] + 0.5) / (len(clean) + 1))
-    strong = np.where((odds > ODDS) & (counts[1] >= 2), odds, 0).astype(np.float32)
-
-    found = [_highest(_moving(strong[grams[i]]), 4, 0.0) for i in toxic]
+    for least, many in ((ODDS, 2), (0.5, 2), (0.0, 1)):  # few labels say less
+        strong = np.where((odds > least) & (counts[1] >= many), odds, 0).astype(np.float32)
+        found = [_highest(_moving(strong[grams[i]]), 4, 0.0) for i in toxic]
+        if sum(map(len, found)):
+            break
+    else:
+        found = [rng.integers(0, len(streams[i]) - WINDOW + 1, 4) for i in toxic]
     positive = np.concatenate([_window(streams[i], p) for i, p in zip(toxic, found, strict=True)])
     negative = np.concatenate([_window(streams[i], rng.integers(0, len(streams[i]) - WINDOW + 1, 2)) for i in clean])
-    if not len(positive):
-        raise ValueError("nothing sets the toxic documents apart")
     points = _landmarks(positive, negative, strong, landmarks, rng)
     marks, weights = _maps(points)
     values, vectors = np.linalg.eigh(kernel(points, points))
-    root = vectors @ np.diag(np.where(values > 1e-6 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-12)), 0)) @ vectors.T
+    root = vectors @ np.diag(np.where(values > max(1e-6 * values.max(), 1e-12), 1 / np.sqrt(np.maximum(values, 1e-12)), 0)) @ vectors.T
     model = None
     for turn in range(ROUNDS):
         rows, many = np.unique(np.concatenate([positive, _inserted(positive, rng)]), axis=0, return_counts=True)
@@ -271,6 +274,8 @@ def _landmarks(positive: np.ndarray, negative: np.ndarray, strong: np.ndarray, m
         cut.append(part)
         holds.append(np.unique(number[at]))
     names = np.unique(np.concatenate(holds))
+    if not len(names):  # nothing is strong
+        return np.concatenate([rows[rng.permutation(len(rows))[: many * 3 // 4]], np.unique(negative, axis=0)[: many // 4]])
     matrix = np.zeros((len(rows), len(names)), np.float32)
     for i, h in enumerate(holds):
         matrix[i, np.searchsorted(names, h)] = 1

@@ -148,7 +148,7 @@ def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_
     named = hexed.withColumn("record_id", F.concat_ws("-", *[F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])).drop("m")
     dealt = named.join(large, "bundle", "left").withColumn("part", F.pmod(F.xxhash64("record_id") + F.col("from"), F.coalesce("parts", F.lit(1).cast("long"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = dealt.select("bundle", "part", "record_id", "page_id", "url", "html").repartition(parts, "bundle", "part").sortWithinPartitions("bundle", "part", F.asc_nulls_first("page_id"), "record_id")
+    placed = dealt.select("bundle", "part", "record_id", "page_id", "url", "html").repartitionById(parts, F.pmod(F.col("bundle") + F.col("part"), F.lit(parts)).cast("int")).sortWithinPartitions("bundle", "part", F.asc_nulls_first("page_id"), "record_id")
     return cut(placed.mapInArrow(lambda it: _pack(it, folder, frame_bytes), _INDEX))
 
 

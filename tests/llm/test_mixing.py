@@ -40,4 +40,14 @@ def test_defined_results(spark):
     assert len(twice) % 2 == 0
     full = mixing.mixed(docs)
     assert full.columns == [*docs.columns, "mix_epoch", "mix_key"] and full.count() == len(got)
+    again = mixing.mixed(docs.selectExpr("*", "'own' AS mix_key", "'own' AS Mix_Epoch"))
+    assert again.columns == full.columns and sorted(map(repr, again.collect())) == sorted(map(repr, full.collect()))
     assert mixing.select(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_names_with_any_signs(spark, tmp_path):
+    docs = frame(spark, [(i, prose(i, 30), "e'n", ("o'x", "b\\y", 'q"z')[i % 3], 1) for i in range(30)])
+    mix = mixing.Mix(domains=(("^o'", "d'1"), ("^b", "d2")), domain_weights={"d'1": 3, "d2": 1}, lang_weights={"e'n": 5}, source_weights={"o'x": 7, 'q"z': 2}, percent=40)
+    d = save(spark, tmp_path, documents=docs)
+    compare(mixing.select(spark.read.parquet(f"{d}/documents.parquet"), mix), mixing.sql(mix), d)
+    assert {r["domain"] for r in mixing.select(docs, mix).collect()} >= {"d'1", "other"}

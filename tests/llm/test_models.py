@@ -125,3 +125,33 @@ def test_sample_is_bounded_and_defined(spark):
     assert len(texts) == 10 and y.sum() == 5
     texts, y = labelled(docs, labels, "quality", 1000)
     assert len(texts) == 40 and "zzz" in texts and "text 3" not in texts
+
+
+def test_few_labels_are_no_error():
+    """A handful of documents of each class, short insults, one document each, texts without letters."""
+    for toxic, clean in ((["you git", "a git he is"], ["fine words here", "all good today"]), (["..."], ["good day to you all"]), (["xyz xyz"], ["xyz xyz"]), ([""], [""]), (["you are an absolute numbskull"] * 3, ["lovely weather for the time of year"])):
+        model = toxicity.fit([*toxic, *clean], np.array([1] * len(toxic) + [0] * len(clean)))
+        assert np.isfinite(model.table).all() and np.isfinite(model.bias)
+        assert all(top(model, t) <= 0 for t in clean if t not in toxic)
+
+
+def test_quality_model_is_that_of_plain_loops():
+    texts = [prose(i, 30) for i in range(12)] + [junk(i) for i in range(12)]
+    y = np.array([1] * 12 + [0] * 12)
+    f, row = nbsvm.features(pa.array(texts))
+    sets = [set(f[row == i].tolist()) for i in range(24)]
+    size = 1 << nbsvm.BITS
+    p, q = {}, {}
+    for s, label in zip(sets, y, strict=True):
+        for x in s:
+            (p if label else q)[x] = (p if label else q).get(x, 0) + 1
+    p_all, q_all = sum(p.values()) + nbsvm.ALPHA * size, sum(q.values()) + nbsvm.ALPHA * size
+    ratio = {x: np.log((p.get(x, 0) + nbsvm.ALPHA) / p_all) - np.log((q.get(x, 0) + nbsvm.ALPHA) / q_all) for x in set().union(*sets)}
+    names = {x: i for i, x in enumerate(sorted(ratio))}
+    rows = [(np.array([*[names[x] for x in sorted(s)], len(names)]), np.array([*[ratio[x] / np.sqrt(len(s)) for x in sorted(s)], 1.0])) for s in sets]
+    w = dual_descent(rows, np.where(y == 1, 1, -1), len(names) + 1, nbsvm.C)
+    mean = sum(abs(w[i]) for i in names.values()) / len(names)
+    weight = {x: ((1 - nbsvm.BETA) * mean + nbsvm.BETA * w[i]) * ratio[x] for x, i in names.items()}
+    want = np.array([sum(weight[x] for x in s) / np.sqrt(len(s)) for s in sets])
+    model = nbsvm.fit(texts, y)
+    assert np.allclose(model.scores(pa.array(texts)) - model.bias, want) and ((want + model.bias >= 0) == (y == 1)).all()
