@@ -37,6 +37,8 @@ IMPLIED = {
     "thead": (frozenset("tbody thead tfoot tr td th".split()), frozenset({"table"})),
     "tfoot": (frozenset("tbody thead tfoot tr td th".split()), frozenset({"table"})),
 }
+#: Open elements, as browsers have it.
+MAX_DEPTH = 512
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -89,11 +91,40 @@ class Node:
 
     def copy(self) -> Node:
         out = Node(self.tag, dict(self.attrs))
-        for c in self.children:
-            out.add(c.copy() if isinstance(c, Node) else c)
+        todo = [(self, out)]
+        while todo:
+            old, new = todo.pop()
+            for c in old.children:
+                if isinstance(c, Node):
+                    twin = Node(c.tag, dict(c.attrs))
+                    new.add(twin)
+                    todo.append((c, twin))
+                else:
+                    new.add(c)
         return out
 
 
+class Index:
+    """A document that no longer changes, with its elements by tag and its metas by name."""
+
+    def __init__(self, doc: Node) -> None:
+        self.doc, self.nodes = doc, list(doc.walk())
+        self.tags: dict[str, list[Node]] = {}
+        for n in self.nodes:
+            self.tags.setdefault(n.tag, []).append(n)
+        self.named: dict[tuple[str, str], list[Node]] = {}
+        for m in self.tags.get("meta", []):
+            for key in ("name", "property", "itemprop"):
+                if key in m.attrs:
+                    self.named.setdefault((key, m.attrs[key]), []).append(m)
+
+    def walk(self) -> Iterator[Node]:
+        return iter(self.nodes)
+
+    def find(self, *tags: str) -> list[Node]:
+        return self.tags.get(tags[0], []) if len(tags) == 1 else [n for n in self.nodes if n.tag in tags]
+
+
 def parse(text: str | None) -> Node:
     """The document of an HTML text: a node '#document' over html, head and body."""
     text = text or ""
@@ -121,7 +152,7 @@ def parse(text: str | None) -> Node:
 
     def reopen() -> None:
         for k, f in enumerate(active):
-            if f not in stack:
+            if f not in stack and len(stack) < MAX_DEPTH:
                 again = Node(f.tag, dict(f.attrs))
                 here().add(again)
                 stack.append(again)
@@ -138,14 +169,18 @@ def parse(text: str | None) -> Node:
         here().add(s)
 
     at, n = 0, len(text)
+    last = text.rfind(">") + 1  # no tag ends behind it
     while at < n:
-        m = _TAG.search(text, at)
+        m = _TAG.search(text, at, last) if at < last else None
         if not m:
-            write(htmllib.unescape(text[at:]))
+            rest = text.find("<!--", at)
+            write(htmllib.unescape(text[at : n if rest < 0 else rest]))
             break
         if m.start() > at:
             write(htmllib.unescape(text[at : m.start()]))
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # a comment that does not end
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
@@ -220,6 +255,8 @@ def parse(text: str | None) -> Node:
                 node.add(inner if tag in RAW else htmllib.unescape(inner))
             at = (text.find(">", end.start()) + 1 or n) if end else n
             continue
+        if len(stack) >= MAX_DEPTH:
+            continue  # what would lie deeper lies beside it
         stack.append(node)
         if tag in FORMATTING:
             active.append(node)
@@ -250,15 +287,22 @@ def text(node: Node) -> str:
 
 
 def serialise(node: Node | str) -> str:
-    if isinstance(node, str):
-        return htmllib.escape(node, quote=False)
-    if node.tag == "#document":
-        return "".join(serialise(c) for c in node.children)
-    head = "<" + node.tag + "".join(f' {k}="{htmllib.escape(v)}"' for k, v in node.attrs.items()) + ">"
-    if node.tag in VOID:
-        return head
-    inner = "".join(c if isinstance(c, str) and node.tag in RAW else serialise(c) for c in node.children)
-    return f"{head}{inner}</{node.tag}>"
+    out: list[str] = []
+    todo: list[tuple[Node | str, bool]] = [(node, False)]  # with whether it is an end tag or raw text
+    while todo:
+        x, plain = todo.pop()
+        if isinstance(x, str):
+            out.append(x if plain else htmllib.escape(x, quote=False))
+        elif plain:
+            out.append(f"</{x.tag}>")
+        else:
+            if x.tag != "#document":
+                out.append("<" + x.tag + "".join(f' {k}="{htmllib.escape(v)}"' for k, v in x.attrs.items()) + ">")
+                if x.tag in VOID:
+                    continue
+                todo.append((x, True))
+            todo += [(c, isinstance(c, str) and x.tag in RAW) for c in reversed(x.children)]
+    return "".join(out)
 
 
 # selection
@@ -278,13 +322,15 @@ def tags(node: Node, tag: str = "", attribs: dict[str, str] | None = None, match
     return [n for k, w in attribs.items() for n in found if k in n.attrs and test(n.attrs[k], w)]
 
 
-def metas(doc: Node, name: str) -> list[Node]:
+def metas(doc: Node | Index, name: str) -> list[Node]:
     """Meta elements by name, then property, then itemprop."""
+    if isinstance(doc, Index):
+        return [m for key in ("name", "property", "itemprop") for m in doc.named.get((key, name), [])]
     every = doc.find("meta")
     return [m for key in ("name", "property", "itemprop") for m in every if m.get(key) == name and key in m.attrs]
 
 
-def meta_field(doc: Node, *names: str) -> str:
+def meta_field(doc: Node | Index, *names: str) -> str:
     """The first content that is not blank."""
     return next((m.get("content").strip() for n in names for m in metas(doc, n) if m.get("content").strip()), "")
 
@@ -297,6 +343,25 @@ def at_level(root: Node, level: int) -> list[Node]:
     return now
 
 
+def depth(node: Node) -> int:
+    """One more than the most children that an element below has; 1 for an element without any."""
+    return 1 + max((len(n.elements()) for n in (node, *node.walk())), default=0)
+
+
+def drop_tags(node: Node, tag: str, keep: frozenset[str] = frozenset()) -> None:
+    """Remove the elements of a tag below node; elements of kept tags in them take their place."""
+    for n in list(node.walk()):
+        if n.tag == tag and n.parent is not None:
+            parent = n.parent
+            at = next(i for i, c in enumerate(parent.children) if c is n)
+            saved = [c for c in n.walk() if c.tag in keep]
+            saved = [c for c in saved if not any(a in saved for a in c.ancestors())]
+            for c in saved:
+                c.parent = parent
+            parent.children[at : at + 1] = saved
+            n.parent = None
+
+
 def tree_path(node: Node) -> list[str]:
     return [a.tag for a in reversed(list(node.ancestors()))] + [node.tag]
 
@@ -417,17 +482,18 @@ def _likely(node: Node) -> int:
     return max(best, 15) if _BODY_CLASS.search(node.get("class")) else best
 
 
-def _candidates(doc: Node) -> list[Node]:
+def _candidates(doc: Node | Index) -> list[Node]:
     nodes = [n for tag in _TEXTUAL[:4] for n in doc.find(tag)]
     divs = doc.find("div")
     named = [n for word in ("articlebody", "article", "story") for key in ("id", "class") for n in divs if word in n.get(key).split()]
     named += [n for n in divs if "paragraph" in n.get("class")]
     if not named and len(nodes) < 5:
         named = divs
-    out = list(dict.fromkeys([*nodes, *named]))
+    out = dict.fromkeys([*nodes, *named])
+    marked = [(n, n.attrs["itemprop"].split()) for n in doc.walk() if "itemprop" in n.attrs]
     for prop in ("articleBody", "articlebody", "articleText", "articleSection"):
-        out += [n for n in doc.walk() if prop in n.get("itemprop").split() and n not in out]
-    return out
+        out |= dict.fromkeys(n for n, words in marked if prop in words)
+    return list(out)
 
 
 def stop_stats(s: str, stop: frozenset[str]) -> tuple[int, int]:
@@ -435,7 +501,7 @@ def stop_stats(s: str, stop: frozenset[str]) -> tuple[int, int]:
     return sum(t in stop for t in tokens), len(tokens)
 
 
-def top_node(doc: Node, stop: frozenset[str]) -> Node | None:
+def top_node(doc: Node | Index, stop: frozenset[str]) -> Node | None:
     """The element with the highest gravity: its paragraphs' stop words, boosts for likely and neighbouring ones."""
     for n in doc.walk():
         if n.tag in _TEXTUAL:
@@ -473,10 +539,10 @@ def top_node(doc: Node, stop: frozenset[str]) -> Node | None:
     return best if best is not None else next(iter(doc.find("body")), None)
 
 
-def body(doc: Node, stop: frozenset[str], compat: bool = False) -> Node | None:
+def body(doc: Node | Index, stop: frozenset[str], compat: bool = False) -> Node | None:
     """The article's element: the top node, with siblings of its level that belong to it.
 
-    compat: look one level higher for siblings, as a well-known extractor does.
+    compat: look one level higher for siblings.
     """
     top = top_node(doc, stop)
     if top is None or top.tag in ("body", "article"):
@@ -484,7 +550,7 @@ def body(doc: Node, stop: frozenset[str], compat: bool = False) -> Node | None:
     scores = [p.info["score"] for p in top.find("p") if p.info.get("score", 0) > 0]
     base = sum(scores) / len(scores) if scores else top.info.get("score", 0.0)
     out = Node("body")
-    html = doc.elements()[0]
+    html = next(iter(doc.find("html")))
     for n in at_level(html, max(0, top.level - int(compat))):
         if n is top:
             out.add(n.copy())

@@ -266,8 +266,10 @@ def digest(title: Column, text: Column, lang: Column, k: int = MAX_KEYWORDS, top
             short = basic_summary_of(t, [w for w, _ in ranked], top)
         return {"keywords": [w for w, _ in ranked[:k]], "scores": ranked, "summary": short or ""}
 
-    def run(h: pa.Array, t: pa.Array, c: pa.Array) -> pa.Array:
+    def run(h: pa.Array, t: pa.Array, c: pa.Array, h_again: pa.Array, c_again: pa.Array) -> pa.Array:
         return pa.array([one(*x) for x in zip(h.to_pylist(), pc.fill_null(t, "").to_pylist(), c.to_pylist(), strict=True)], _DIGEST_ARROW)
 
-    run.__annotations__ = {"h": pa.Array, "t": pa.Array, "c": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, _DIGEST)(title, text, lang)
+    run.__annotations__ = dict.fromkeys(["h", "t", "c", "h_again", "c_again", "return"], pa.Array)
+    # Title and language go in twice, as what is used twice is not inlined: a call with lambdas in its arguments is not
+    # recognised when calls are taken out of a projection (its lambdas are numbered anew), and can't be evaluated then.
+    return F.arrow_udf(run, _DIGEST)(title, text, lang, title, lang)

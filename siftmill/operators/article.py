@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import dims, dom, ioc, lang, nlp, urls
+from siftmill.operators import source
 from siftmill.sources.shared import cut
 
 
@@ -33,6 +33,7 @@ class Options:
     min_words: int = nlp.MIN_WORDS
     fetch_images: bool = True
     compat: bool = False
+    tokenizer: bool = True
     now: datetime = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
     def __post_init__(self) -> None:
@@ -42,6 +43,7 @@ class Options:
 
 AUTHOR_ATTRS = "name rel itemprop class id property".split()
 AUTHOR_VALUES = [*"author byline dc.creator byl article:author article:author_name".split(), "story-byline", "article-author", *(f"{x}author" for x in ("parsely-", "sailthru.", "citation_"))]
+_AUTHOR_KEYS, _AUTHOR_SET = set(AUTHOR_ATTRS), frozenset(AUTHOR_VALUES)
 AUTHOR_STOP = re.compile(r"(?i)\b(?:Opinion Writer|Senior Reporter|Reporter|Reuters|Writer|IANS|AFP|ANI|DPA|PTI|AP|By)\b", re.ASCII)
 TITLE_METAS = "dc.title og:title headline articletitle article-title parsely-title title".split()
 DATE_METAS = (
@@ -58,16 +60,71 @@ def parse_date(s: str | None) -> datetime | None:
     """A date in any common form, UTC; None if it is none."""
     s = re.sub(r"\s+", " ", (s or "").strip()).replace("GMT", "+0000").replace("UTC", "+0000")
     s = re.sub(r"Z$", "+0000", s)
+    if len(s) > 80 or not re.search(r"[0-9]", s):
+        return None
     for form in _FORMATS:
         try:
-            d = datetime.strptime(s, form)
-            return d.astimezone(timezone.utc) if d.tzinfo else d.replace(tzinfo=timezone.utc)
+            return _utc(datetime.strptime(s, form))
         except ValueError:
             continue
+    return _any_date(s)
+
+
+def _utc(d: datetime) -> datetime | None:
+    try:
+        return d.astimezone(timezone.utc) if d.tzinfo else d.replace(tzinfo=timezone.utc)
+    except OverflowError:  # beyond the years 1 to 9999
+        return None
+
+
+_MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+_CLOCK = re.compile(r"(?<![0-9:])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)? ?([ap]\.?m\.?)?", re.I)
+_ZONE = re.compile(r"([+-])([0-9]{2}):?([0-9]{2})$")
+_ZONES = {"est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7, "cet": 1, "cest": 2, "bst": 1}
+
+
+def _any_date(s: str) -> datetime | None:
+    """A date in any layout: a clock, a zone, a month by name or the order year-month-day or month-day-year; seconds since 1970."""
+    if re.fullmatch(r"[0-9]{10}|[0-9]{13}", s):
+        return datetime.fromtimestamp(int(s[:10]), timezone.utc)
+    clock, zone = _CLOCK.search(s), timezone.utc
+    hour, minute, second, micro = 0, 0, 0, 0
+    rest = s
+    if clock:
+        hour, minute, second = int(clock[1]), int(clock[2]), int(clock[3] or 0)
+        micro = int((clock[4] or "0").ljust(6, "0")[:6])
+        half = (clock[5] or "").lower()[:1]
+        if half:
+            hour = hour % 12 + (12 if half == "p" else 0)
+        tail = s[clock.end() :].strip()
+        found = _ZONE.search(tail)
+        if found:
+            zone = timezone((1 if found[1] == "+" else -1) * timedelta(hours=int(found[2]), minutes=int(found[3])))
+            tail = tail[: found.start()]
+        for name, hours in _ZONES.items():
+            if re.search(rf"\b{name}\b", tail, re.I):
+                zone = timezone(timedelta(hours=hours))
+        rest = f"{s[: clock.start()]} {tail}"
+    named = re.search(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", rest, re.I)
+    numbers = [x for x in re.findall(r"[0-9]+", rest)]
+    year = next((x for x in numbers if len(x) == 4), None)
+    others = [int(x) for x in numbers if x is not year and len(x) <= 2]
+    try:
+        if named and year and others:
+            return _utc(datetime(int(year), _MONTHS[named[1].lower()], others[0], hour, minute, second, micro, zone))
+        if named and year:
+            return _utc(datetime(int(year), _MONTHS[named[1].lower()], 1, hour, minute, second, micro, zone))
+        if year and len(others) >= 2:
+            month, day = others[:2]
+            if numbers[0] is not year and month > 12:
+                month, day = day, month
+            return _utc(datetime(int(year), month, day, hour, minute, second, micro, zone))
+    except ValueError:
+        return None
     return None
 
 
-def json_ld(doc: dom.Node) -> list[dict]:
+def json_ld(doc: dom.Node | dom.Index) -> list[dict]:
     """Objects of the page's JSON-LD scripts; arrays flattened one level, broken ones skipped."""
     out: list[dict] = []
     for s in doc.find("script"):
@@ -116,7 +173,7 @@ def clean_authors(names: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def authors(doc: dom.Node, ld: list[dict]) -> list[str]:
+def authors(doc: dom.Node | dom.Index, ld: list[dict]) -> list[str]:
     names: list[str] = []
     for o in ld:
         graph = _graph(o)
@@ -124,16 +181,19 @@ def authors(doc: dom.Node, ld: list[dict]) -> list[str]:
             if graph is not None and item.get("@type") == "Person" and isinstance(item.get("name"), str):
                 names.append(item["name"])
             names += author_names(item.get("author"))
-    every = list(doc.walk())
-    for key in AUTHOR_ATTRS:
+    marked: dict[tuple[str, str], list[dom.Node]] = {}
+    for n in doc.walk():
+        for key in _AUTHOR_KEYS & n.attrs.keys():
+            if n.attrs[key] in _AUTHOR_SET:
+                marked.setdefault((key, n.attrs[key]), []).append(n)
+    for key in AUTHOR_ATTRS if marked else []:
         for value in AUTHOR_VALUES:
-            for n in every:
-                if n.get(key) == value:
-                    names += [n.get("content")] if n.tag == "meta" else byline(dom.text(n))
+            for n in marked.get((key, value), []):
+                names += [n.get("content")] if n.tag == "meta" else byline(dom.text(n))
     return clean_authors(names)
 
 
-def publish_date(doc: dom.Node, ld: list[dict], url: str, now: datetime) -> datetime | None:
+def publish_date(doc: dom.Node | dom.Index, ld: list[dict], url: str, now: datetime) -> datetime | None:
     """The best scored of the dates in address, JSON-LD, time elements and metas; the first on ties."""
     found: list[tuple[int, datetime]] = []
     m = _URL_DATE.search(url)
@@ -169,7 +229,7 @@ def _provider(url: str) -> bool:
     return bool(m) and any(p in m[1].lower().removeprefix("www.") for p in dims.VIDEO_PROVIDERS)
 
 
-def videos(doc: dom.Node, ld: list[dict], url: str) -> list[str]:
+def videos(doc: dom.Node | dom.Index, ld: list[dict], url: str) -> list[str]:
     out = [v.get("src") for v in doc.find("video") if v.get("src")]
     for tag, key in (("iframe", "src"), ("embed", "src"), ("object", "data")):
         out += [n.get(key) for n in doc.find(tag) if _provider(n.get(key))]
@@ -183,7 +243,7 @@ def videos(doc: dom.Node, ld: list[dict], url: str) -> list[str]:
 _META_IMAGES = [("meta", "property", r"^og:image$", "content", 10), ("link", "rel", "image_src|img_src", "href", 8), ("meta", "name", r"^og:image$", "content", 8), ("link", "rel", "^icon$", "href", 5)]
 
 
-def meta_image(doc: dom.Node, url: str) -> str:
+def meta_image(doc: dom.Node | dom.Index, url: str) -> str:
     found = [(score, n.get(key)) for tag, attr, rx, key, score in _META_IMAGES for n in doc.find(tag) if attr in n.attrs and re.search(rx, n.get(attr)) and n.get(key)]
     return _resolve(url, max(found, key=lambda x: x[0])[1]) if found else ""
 
@@ -195,11 +255,11 @@ def image_source(n: dom.Node) -> str:
     return next((n.get(k) for k in _SOURCES if n.get(k)), "")
 
 
-def images(doc: dom.Node, url: str) -> list[str]:
+def images(doc: dom.Node | dom.Index, url: str) -> list[str]:
     return [_resolve(url, s) for n in doc.find("img") for s in [image_source(n)] if s and not s.startswith("data:")]
 
 
-def top_image(doc: dom.Node, top: dom.Node | None, meta: str, url: str, fetch: bool) -> str:
+def top_image(doc: dom.Node | dom.Index, top: dom.Node | None, meta: str, url: str, fetch: bool) -> str:
     """The meta image if images are not fetched, else the image nearest to the article by tag path."""
     if meta and not fetch:
         return meta
@@ -208,7 +268,7 @@ def top_image(doc: dom.Node, top: dom.Node | None, meta: str, url: str, fetch: b
     return _resolve(url, min(found, key=lambda x: x[0])[1]) if found else meta
 
 
-def meta_language(doc: dom.Node) -> str:
+def meta_language(doc: dom.Node | dom.Index) -> str:
     root = next(iter(doc.find("html")), None)
     tries = [root.get("lang") if root is not None else ""]
     for key, value in (("property", "og:locale"), ("http-equiv", "content-language"), ("name", "lang")):
@@ -216,12 +276,12 @@ def meta_language(doc: dom.Node) -> str:
     return next((t.strip().lower() for t in tries if len(t.strip()) == 2 and dims.is_language(t.strip().lower())), "")
 
 
-def canonical(doc: dom.Node, url: str) -> str:
+def canonical(doc: dom.Node | dom.Index, url: str) -> str:
     ref = next((n.get("href") for n in doc.find("link") if n.get("rel") == "canonical" and n.get("href")), "") or dom.meta_field(doc, "og:url")
     return _resolve(url, ref) if ref else ""
 
 
-def meta_data(doc: dom.Node) -> dict[str, str]:
+def meta_data(doc: dom.Node | dom.Index) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in doc.find("meta"):
         key = (m.get("property") or m.get("name") or m.get("itemprop")).strip()
@@ -237,61 +297,78 @@ def detect(s: str) -> str:
     return min(counts, key=lambda c: (-counts[c], c))
 
 
-LINK = pa.struct([("href", pa.string()), ("text", pa.string())])
-FACTS = pa.schema(
-    [
-        ("page_id", pa.int64()), ("url", pa.string()), ("meta_lang", pa.string()), ("title_tag", pa.string()), ("h1", pa.list_(pa.string())), ("meta_title", pa.string()),
-        ("canonical_link", pa.string()), ("meta_description", pa.string()), ("meta_site_name", pa.string()), ("meta_keywords", pa.string()), ("meta_data", pa.map_(pa.string(), pa.string())),
-        ("authors", pa.list_(pa.string())), ("publish_date", pa.timestamp("us", "UTC")), ("meta_favicon", pa.string()), ("meta_img", pa.string()), ("images", pa.list_(pa.string())), ("top_image", pa.string()),
-        ("movies", pa.list_(pa.string())), ("links", pa.list_(LINK)), ("feed_links", pa.list_(pa.string())), ("raw_body", pa.string()), ("text", pa.string()), ("article_html", pa.string()), ("top_tag", pa.string()),
-    ]
-)
-FACTS_DDL = (
-    "page_id long, url string, meta_lang string, title_tag string, h1 array<string>, meta_title string, canonical_link string, meta_description string, meta_site_name string, meta_keywords string, "
-    "meta_data map<string,string>, authors array<string>, publish_date timestamp, meta_favicon string, meta_img string, images array<string>, top_image string, movies array<string>, "
-    "links array<struct<href:string,text:string>>, feed_links array<string>, raw_body string, text string, article_html string, top_tag string"
-)
+_TEXT, _TEXTS = ("string", pa.string()), ("array<string>", pa.list_(pa.string()))
+#: What can be asked of a page: type in Spark and in Arrow.
+FACTS: dict[str, tuple[str, pa.DataType]] = {
+    "meta_lang": _TEXT, "title_tag": _TEXT, "h1": _TEXTS, "meta_title": _TEXT, "canonical_link": _TEXT, "meta_description": _TEXT, "meta_site_name": _TEXT, "meta_keywords": _TEXT,
+    "meta_data": ("map<string,string>", pa.map_(pa.string(), pa.string())), "authors": _TEXTS, "publish_date": ("timestamp", pa.timestamp("us", "UTC")), "meta_favicon": _TEXT, "meta_img": _TEXT, "images": _TEXTS,
+    "top_image": _TEXT, "movies": _TEXTS, "links": ("array<struct<href:string,text:string>>", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))), "feed_links": _TEXTS,
+    "raw_body": _TEXT, "text": _TEXT, "article_html": _TEXT, "top_tag": _TEXT, "top_node_html": _TEXT, "doc_html": _TEXT, "clean_doc_html": _TEXT, "html": _TEXT, "is_null": ("boolean", pa.bool_()),
+}
+_BODY = frozenset("raw_body text article_html top_tag top_image top_node_html".split())
 
 
-def page_facts(page_id: int | None, url: str | None, html: str | None, options: Options) -> dict:
+def page_facts(url: str | None, html: str | None, options: Options, wanted: frozenset[str]) -> dict:
+    """The wanted facts of a page; what several of them need is made once, what none needs is not made."""
     url = url or ""
-    doc = dom.parse(html)
-    ld = json_ld(doc)
-    language = options.language or meta_language(doc)
+    doc = dom.Index(dom.parse(html))
+    ld = json_ld(doc) if wanted & {"authors", "publish_date", "movies"} else []
+    out: dict = {"html": html, "is_null": html is None}
+    meta = meta_image(doc, url) if wanted & {"meta_img", "top_image"} else ""
     titles = doc.find("title")
-    if not language:
-        language = detect(dom.text(doc))
-    found = dom.body(doc, dims.stopwords_for(language), options.compat)
-    meta = meta_image(doc, url)
-    raw = dom.text(found) if found is not None else ""
-    out = {
-        "page_id": page_id, "url": url, "meta_lang": meta_language(doc), "title_tag": dom.text(titles[0]) if titles else None, "h1": [dom.text(h) for h in doc.find("h1")],
-        "meta_title": dom.meta_field(doc, *TITLE_METAS), "canonical_link": canonical(doc, url), "meta_description": dom.meta_field(doc, "description", "og:description"),
-        "meta_site_name": dom.meta_field(doc, "og:site_name"), "meta_keywords": dom.meta_field(doc, "keywords"), "meta_data": list(meta_data(doc).items()),
-        "authors": authors(doc, ld), "publish_date": publish_date(doc, ld, url, options.now),
-        "meta_favicon": next((n.get("href") for n in doc.find("link") if n.get("rel") in ("icon", "shortcut icon") and n.get("href")), ""), "meta_img": meta,
-        "images": images(doc, url), "top_image": top_image(doc, found if found is not None and found.parent is not None else None, meta, url, options.fetch_images), "movies": videos(doc, ld, url),
-        "links": [{"href": a.get("href"), "text": dom.text(a)} for a in doc.find("a") if "href" in a.attrs],
-        "feed_links": [n.get("href") for n in doc.find("link") if n.get("type") in ("application/rss+xml", "application/atom+xml") and n.get("href")],
-        "raw_body": raw, "top_tag": found.tag if found is not None else None,
+    makers = {
+        "meta_lang": lambda: meta_language(doc), "title_tag": lambda: dom.text(titles[0]) if titles else None, "h1": lambda: [dom.text(h) for h in doc.find("h1")],
+        "meta_title": lambda: dom.meta_field(doc, *TITLE_METAS), "canonical_link": lambda: canonical(doc, url), "meta_description": lambda: dom.meta_field(doc, "description", "og:description"),
+        "meta_site_name": lambda: dom.meta_field(doc, "og:site_name"), "meta_keywords": lambda: dom.meta_field(doc, "keywords"), "meta_data": lambda: list(meta_data(doc).items()),
+        "authors": lambda: authors(doc, ld), "publish_date": lambda: publish_date(doc, ld, url, options.now),
+        "meta_favicon": lambda: next((n.get("href") for n in doc.find("link") if n.get("rel") in ("icon", "shortcut icon") and n.get("href")), ""), "meta_img": lambda: meta,
+        "images": lambda: images(doc, url), "movies": lambda: videos(doc, ld, url), "links": lambda: [{"href": a.get("href"), "text": dom.text(a)} for a in doc.find("a") if "href" in a.attrs],
+        "feed_links": lambda: [n.get("href") for n in doc.find("link") if n.get("type") in ("application/rss+xml", "application/atom+xml") and n.get("href")],
+        "doc_html": lambda: dom.serialise(doc.find("html")[0]), "clean_doc_html": lambda: dom.serialise(dom.clean(doc.doc.copy())),
     }
-    cleaned = dom.clean(found) if found is not None else None
-    out["text"] = dom.text(cleaned) if cleaned is not None else ""
-    out["article_html"] = dom.serialise(cleaned) if cleaned is not None else ""
+    out |= {k: make() for k, make in makers.items() if k in wanted}
+    if wanted & _BODY:
+        language = options.language or meta_language(doc) or detect(dom.text(doc.doc))
+        found = dom.body(doc, dims.stopwords_for(language), options.compat)
+        out |= {"raw_body": dom.text(found) if found is not None else "", "top_tag": found.tag if found is not None else None, "text": "", "article_html": ""}
+        if "top_node_html" in wanted:
+            out["top_node_html"] = dom.serialise(found) if found is not None else ""
+        if "top_image" in wanted:
+            out["top_image"] = top_image(doc, found if found is not None and found.parent is not None else None, meta, url, options.fetch_images)
+        if found is not None and wanted & {"text", "article_html"}:
+            cleaned = dom.clean(found)
+            out["text"] = dom.text(cleaned)
+            out["article_html"] = dom.serialise(cleaned) if "article_html" in wanted else ""
     return out
 
 
-def facts(pages: DataFrame, options: Options | None = None) -> DataFrame:
-    """What the tree of each page (page_id, url, html) says; a null html is an empty page."""
+def _whole(value: object) -> object:
+    """A value that UTF-8 can hold: lone surrogates, which JSON may spell out, are replaced."""
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, dict):
+        return {_whole(k): _whole(v) for k, v in value.items()}
+    return type(value)(map(_whole, value)) if isinstance(value, (list, tuple)) else value
+
+
+def facts(pages: DataFrame, options: Options | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """What the tree of each page (page_id, url, html) says, or ``only`` some of FACTS; a null html is an empty page."""
     options = options or Options()
+    names = [k for k in FACTS if k in set(FACTS if only is None else only)]
+    wanted = frozenset(names)
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), *[(k, FACTS[k][1]) for k in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256).to_pylist()
-                yield from pa.Table.from_pylist([page_facts(r["page_id"], r["url"], r["html"], options) for r in rows], FACTS).to_batches()
+                rows = [{"page_id": r["page_id"], "url": r["url"] or ""} | page_facts(r["url"], r["html"], options, wanted) for r in batch.slice(i, 256).to_pylist()]
+                try:
+                    table = pa.Table.from_pylist(rows, schema)
+                except UnicodeEncodeError:
+                    table = pa.Table.from_pylist([_whole(r) for r in rows], schema)
+                yield from table.to_batches()
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, FACTS_DDL)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, ", ".join(["page_id long", "url string", *[f"{k} {FACTS[k][0]}" for k in names]]))
 
 
 NODES_DDL = "page_id long, node_id int, post_id int, parent_id int, grandparent_id int, level int, sib_idx int, tag string, attrs map<string,string>, own_text string, text string"
@@ -312,13 +389,14 @@ def nodes(pages: DataFrame) -> DataFrame:
             if id(n.parent) in last:
                 last[id(n.parent)] = max(last[id(n.parent)], last[id(n)])
         out = []
+        place = {id(c): k for n in (doc, *every) for k, c in enumerate(n.elements())}
         for i, n in enumerate(every):
             up = n.parent if id(n.parent) in number else None
             top = up.parent if up is not None and id(up.parent) in number else None
             out.append(
                 {
                     "page_id": page_id, "node_id": i, "post_id": last[id(n)], "parent_id": number[id(up)] if up is not None else None, "grandparent_id": number[id(top)] if top is not None else None,
-                    "level": n.level, "sib_idx": n.parent.elements().index(n), "tag": n.tag, "attrs": list(n.attrs.items()), "own_text": "".join(c for c in n.children if isinstance(c, str)), "text": dom.text(n),
+                    "level": n.level, "sib_idx": place[id(n)], "tag": n.tag, "attrs": list(n.attrs.items()), "own_text": "".join(c for c in n.children if isinstance(c, str)), "text": dom.text(n),
                 }
             )
         return out
@@ -389,41 +467,72 @@ def with_links(files: Column, found: Column) -> Column:
     return F.array_distinct(F.transform(files, lambda f: F.when(F.contains(f, F.lit("://")), f).otherwise(F.coalesce(F.get(F.filter(found, lambda u: u.endswith(f)), F.lit(0)), f))))
 
 
-def articles(pages: DataFrame, options: Options | None = None) -> DataFrame:
-    """The articles of pages(page_id, url, html)."""
+#: Columns of an article, and the facts that each needs.
+COLUMNS: dict[str, str] = {
+    "source_url": "", "title": "title_tag h1 meta_title meta_lang", "top_image": "top_image", "meta_img": "meta_img", "images": "images", "movies": "movies", "text": "text",
+    "keywords": "title language text", "keyword_scores": "title language text", "meta_keywords": "meta_keywords", "tags": "", "authors": "authors", "publish_date": "publish_date", "summary": "title language text",
+    "article_html": "article_html", "is_parsed": "is_null", "download_state": "is_null", "meta_description": "meta_description", "meta_lang": "meta_lang", "meta_favicon": "meta_favicon", "meta_site_name": "meta_site_name",
+    "meta_data": "meta_data", "canonical_link": "canonical_link", "links": "links", "language": "title meta_lang raw_body", **{c: "raw_body" for c in IOC_COLUMNS.values()}, "files": "raw_body links",
+    "valid_body": "text", "likely_article": "", "html": "html", "doc_html": "doc_html", "clean_doc_html": "clean_doc_html", "top_node_html": "top_node_html", "categories": "links html",
+}
+#: Columns that are large or dear and come only when asked for.
+EXTRA = "html doc_html clean_doc_html top_node_html categories".split()
+
+
+def _needed(columns: Iterable[str]) -> set[str]:
+    out: set[str] = set()
+    for c in columns:
+        for x in COLUMNS[c].split():
+            out |= _needed([x]) if x in ("title", "language") else {x}
+    return out
+
+
+def articles(pages: DataFrame, options: Options | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """The articles of pages(page_id, url, html): all columns but EXTRA, or ``only`` some of COLUMNS.
+
+    A page is parsed for what the columns need and no more. Nothing is shuffled (but for categories).
+    A null html is a page that was not downloaded: is_parsed false, download_state 0, everything else as of an empty page.
+    """
     options = options or Options()
-    f = facts(pages, options).withColumn("title", title(F.col("title_tag"), F.col("h1"), F.col("meta_title"), F.nullif(F.col("meta_lang"), F.lit(""))))
-    f = f.withColumn("language", F.coalesce(language(F.col("meta_lang"), F.col("title"), F.col("raw_body"), options.language), F.nullif("meta_lang", F.lit("")), F.lit("en")))
-    for kind, column in IOC_COLUMNS.items():
-        f = f.withColumn(column, ioc.matches(F.col("raw_body"), kind))
-    # the pages are parsed once; everything below reads what came out, without their HTML
-    f = cut(f)
-    hrefs = F.transform("links", lambda x: x.href)
-    f = f.withColumn("files", with_links(F.col("files"), F.concat("other_urls", hrefs)))
-    keyed = nlp.keywords(f.select("page_id", "text", "language"), "page_id", "text", "language", options.max_keywords).join(f.select("page_id", "language"), "page_id")
-    found = nlp.filtered_keywords(keyed, "page_id", "language")
-    ranked = nlp.with_title(found, f.select("page_id", "title", "language"), "page_id", "language", options.max_keywords)
-    lists = ranked.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword", "score"))).alias("k"))
-    lists = lists.select("page_id", F.transform("k", lambda x: x.keyword).alias("keywords"), F.map_from_entries(F.transform("k", lambda x: F.struct(x.keyword, x.score))).alias("keyword_scores"))
-    sums = nlp.summary(f.select("page_id", "title", "text", "language"), "page_id", "title", "text", "language", options.max_sentences)
-    out = f.join(lists, "page_id", "left").join(sums, "page_id", "left")
+    names = [c for c in COLUMNS if c in set(only)] if only is not None else [c for c in COLUMNS if c not in EXTRA]
+    f = facts(pages, options, _needed(names))
+    if "categories" in names:
+        f = cut(f)  # read twice
+        found = source.page_categories(f).groupBy("page_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+        f = f.join(found, "page_id", "left")
+    has = set(f.columns)
+    if {"title_tag", "h1", "meta_title"} <= has:
+        f = f.withColumn("title", title(F.col("title_tag"), F.col("h1"), F.col("meta_title"), F.nullif(F.col("meta_lang"), F.lit(""))))
+    if {"title_tag", "raw_body"} <= has:
+        f = f.withColumn("language", F.coalesce(language(F.col("meta_lang"), F.col("title"), F.col("raw_body"), options.language), F.nullif("meta_lang", F.lit("")), F.lit("en")))
+    if {"keywords", "keyword_scores", "summary"} & set(names):
+        f = f.withColumn("_d", nlp.digest(F.col("title"), F.col("text"), F.col("language"), options.max_keywords, options.max_sentences, options.tokenizer))
     empty = F.array().cast("array<string>")
-    return out.select(
-        "page_id", "url", F.lit("").alias("source_url"), "title", "top_image", "meta_img", "images", "movies", "text", F.coalesce("keywords", empty).alias("keywords"), F.coalesce("keyword_scores", F.create_map().cast("map<string,double>")).alias("keyword_scores"),
-        F.filter(F.transform(F.split("meta_keywords", ","), lambda x: F.trim(x)), lambda x: x != "").alias("meta_keywords"), F.create_map().cast("map<string,string>").alias("tags"), "authors", "publish_date", F.coalesce("summary", F.lit("")).alias("summary"),
-        "article_html", F.lit(True).alias("is_parsed"), F.lit(2).alias("download_state"), "meta_description", "meta_lang", "meta_favicon", "meta_site_name", "meta_data", "canonical_link", "links", "language", *IOC_COLUMNS.values(),
-        nlp.body_valid(F.col("text"), options.min_words).alias("valid_body"), urls.likely_article(F.col("url")).alias("likely_article"),
-    )
+    made = {
+        "source_url": lambda: F.lit(""), "keywords": lambda: F.col("_d.keywords"), "keyword_scores": lambda: F.col("_d.scores"), "summary": lambda: F.col("_d.summary"),
+        "meta_keywords": lambda: F.filter(F.transform(F.split("meta_keywords", ","), lambda x: F.trim(x)), lambda x: x != ""), "tags": lambda: F.create_map().cast("map<string,string>"),
+        "is_parsed": lambda: ~F.col("is_null"), "download_state": lambda: F.when(F.col("is_null"), 0).otherwise(2), "valid_body": lambda: nlp.body_valid(F.col("text"), options.min_words),
+        "likely_article": lambda: urls.likely_article(F.col("url")), "categories": lambda: F.coalesce("categories", empty),
+        **{c: lambda kind=kind: ioc.matches(F.col("raw_body"), kind) for kind, c in IOC_COLUMNS.items()},
+        "files": lambda: with_links(ioc.matches(F.col("raw_body"), "File"), F.concat(ioc.matches(F.col("raw_body"), "URL"), F.transform("links", lambda x: x.href))),
+    }
+    return f.select("page_id", "url", *[(made[c]() if c in made else F.col(c)).alias(c) for c in names])
 
 
 _SHORT = sorted(["authors", "images", "keywords", "language", "meta_description", "movies", "publish_date", "summary", "text", "title", "top_image", "url", *IOC_COLUMNS.values()])
-_FULL = sorted({*_SHORT, "article_html", "canonical_link", "is_parsed", "keyword_scores", "meta_data", "meta_favicon", "meta_img", "meta_keywords", "meta_lang", "meta_site_name", "source_url", "tags"})
+_FULL = sorted({*_SHORT, *EXTRA, "article_html", "canonical_link", "is_parsed", "keyword_scores", "meta_data", "meta_favicon", "meta_img", "meta_keywords", "meta_lang", "meta_site_name", "source_url", "tags"})
 
 
 def to_json(of: DataFrame, full: bool = False) -> DataFrame:
-    """(page_id, json): the short or the full form; keys in alphabetical order, nulls written, dates as RFC 3339."""
+    """(page_id, json): the short or the full form; keys in alphabetical order, nulls written, dates as RFC 3339.
+
+    ``of`` has the columns SHORT or FULL; pages that are not parsed have no JSON and no row.
+    """
     cols = [F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c) if c == "publish_date" else F.col(c) for c in (_FULL if full else _SHORT)]
-    return of.select("page_id", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+    return of.where("is_parsed").select("page_id", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
+
+
+SHORT, FULL = [*_SHORT, "is_parsed"], list(_FULL)
 
 
 def to_text(of: DataFrame) -> DataFrame:
@@ -431,14 +540,3 @@ def to_text(of: DataFrame) -> DataFrame:
     listed = lambda c: F.concat(F.lit("["), F.array_join(c, " "), F.lit("]"))
     form = "\n".join(f"{x}: %s" for x in ("Article Title", "URL", "Authors", "Publish Date", "Top Image", "Meta Description", "Keywords", "Summary", "Text"))
     return of.select("page_id", F.format_string(form, "title", "url", listed("authors"), F.coalesce(F.col("publish_date").cast("string"), F.lit("<nil>")), "top_image", "meta_description", listed("keywords"), "summary", "text").alias("out"))
-
-
-def extracted(pages: DataFrame, *extractors) -> DataFrame:  # noqa: ANN002
-    """Pages through extractors of one's own, each DataFrame to DataFrame, in order."""
-    for e in extractors:
-        pages = pages.transform(e)
-    return pages
-
-
-def dates(series: pd.Series) -> pd.Series:
-    return series.map(parse_date)

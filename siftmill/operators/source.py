@@ -6,6 +6,7 @@ is what is at hand. Downloads are joins with it; links, feeds and limits are rel
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -48,8 +49,8 @@ def links(of: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for *k, html in batch[[*keys, "html"]].itertuples(index=False):
-                doc = dom.parse(html)
+            for *k, page in batch[[*keys, "html"]].itertuples(index=False):
+                doc = dom.parse(page)
                 found = [("a", n.get("href"), dom.text(n)) for n in doc.find("a") if n.get("href") not in ("", "/", "#")]
                 found += [("feed", n.get("href"), "") for n in doc.find("link") if n.get("type") in ("application/rss+xml", "application/atom+xml") and n.get("href")]
                 out += [(*k, i, href, text, kind) for i, (kind, href, text) in enumerate(found)]
@@ -74,20 +75,29 @@ def categories(homes: DataFrame, options: BuildOptions | None = None) -> DataFra
 
 
 def page_categories(facts: DataFrame) -> DataFrame:
-    """(page_id, category): valid category links of pages, without stop chunks, and the root; sorted, unique."""
-    each = facts.select("page_id", "url", F.explode("links").alias("l")).select("page_id", F.col("url").alias("base"), F.col("l.href").alias("href"))
+    """(page_id, category): category links of pages, without stop chunks, and the root; each once, in order within a page.
+
+    Pages (page_id, url, links, html) without any take addresses in quotes anywhere in their html. Rows that
+    share a page_id are one page; a null page_id has no rows.
+    """
+    pages = facts.where("page_id IS NOT NULL").select("page_id", F.col("url").alias("base"), "links", "html")
+    each = pages.select("page_id", "base", F.explode("links").alias("l")).select("page_id", "base", F.col("l.href").alias("href"))
     p = urls.parsed(each, "href")
     good = p.where(urls.valid_category(F.col("u"), F.col("href")) & urls.no_stop_chunk(F.col("u"))).select("page_id", "base", "href")
-    roots = facts.select("page_id", F.col("url").alias("base"), F.lit("/").alias("href"))
-    both = good.unionByName(roots).withColumn("category", F.when(F.col("base") == "", F.col("href")).otherwise(urls.prepare(F.col("href"), F.col("base"))))
-    return both.select("page_id", "category").distinct()
+    lacking = pages.join(good.select("page_id").distinct(), "page_id", "left_anti")
+    other = urls.parsed(other_links(lacking), "href").where(urls.valid_category(F.col("u"), F.col("href")) & urls.no_stop_chunk(F.col("u"))).select("page_id", "base", "href")
+    roots = pages.select("page_id", "base", F.lit("/").alias("href"))
+    both = good.unionByName(other).unionByName(roots)
+    both = both.withColumn("category", F.when(F.col("base") == "", F.col("href")).otherwise(urls.prepare(F.col("href"), F.col("base"))))
+    lists = both.groupBy("page_id").agg(F.sort_array(F.collect_set("category")).alias("c"))
+    return lists.select("page_id", F.explode("c").alias("category"))
 
 
 def other_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url): addresses in quotes anywhere in the page, of the page's own brand, no assets, one or two chunks."""
-    found = pages.select("page_id", F.col("url").alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r'"(https?://[^"]*)"'), F.lit(1))).alias("x")).withColumn("url", F.replace("x", F.lit("\\/"), F.lit("/")))
-    size = F.size(urls.chunks(urls.path(F.col("url"))))
-    return found.where((urls.naive_domain(F.col("url")) == urls.naive_domain(F.col("base"))) & ~urls.is_asset(F.col("url")) & size.between(1, 2)).select("page_id", "url").distinct()
+    """(page_id, base, href): addresses in quotes anywhere in pages (page_id, base, html), of the page's own brand, no assets, one or two chunks."""
+    found = pages.select("page_id", "base", F.explode(F.regexp_extract_all("html", F.lit(r'"(https?://[^"]*)"'), F.lit(1))).alias("x")).withColumn("href", F.replace("x", F.lit("\\/"), F.lit("/")))
+    size = F.size(urls.chunks(urls.path(F.col("href"))))
+    return found.where((urls.naive_domain(F.col("href")) == urls.naive_domain(F.col("base"))) & ~urls.is_asset(F.col("href")) & size.between(1, 2)).select("page_id", "base", "href").distinct()
 
 
 def feed_urls(homes: DataFrame, cats: DataFrame, options: BuildOptions | None = None) -> DataFrame:
@@ -106,19 +116,36 @@ def feed_urls(homes: DataFrame, cats: DataFrame, options: BuildOptions | None =
 def linked_feeds(cat_pages: DataFrame) -> DataFrame:
     """(source_url, url): feeds that category pages (source_url, url, html) link to."""
     found = links(cat_pages.withColumnRenamed("url", "page"), ["source_url", "page"]).where("kind = 'feed'").withColumn("url", urls.prepare(F.col("href"), F.col("page")))
-    found = _domain(_domain(found, "source_url", "home"), "url", "there")
-    return found.where("home = there").select("source_url", "url").distinct()
+    found = urls.parsed(_domain(found, "source_url", "home"), "url")
+    return found.where(urls.valid_category(F.col("u"), F.col("url")) & (F.col("home") == F.col("u.domain"))).select("source_url", "url").distinct()
 
 
 _URL = re.compile(r"https?://[^\s<>\"']+")
 
 
+_ITEM = re.compile(r"<(item|entry)\b[^>]*>(.*?)</\1>", re.S | re.I)
+_INNER = re.compile(r"<(link|guid)\b[^>]*>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</\1>", re.S | re.I)
+
+
+def _loose_items(body: str) -> list[str]:
+    """The same from a feed that is no XML, read as HTML."""
+    out = []
+    for m in _ITEM.finditer(body):
+        inner = {k.lower(): v for k, v in reversed(_INNER.findall(m[2]))}
+        item = dom.parse(m[2])
+        tries = [inner.get("link", ""), *[n.get("href") for n in item.find("link")][:1], inner.get("guid", ""), *[n.get("url") for n in item.find("enclosure")][:1], *[n.get("href") for n in item.find("link")], *_URL.findall(m[2])[:1]]
+        found = next((html.unescape(t).strip() for t in tries if t.strip()), None)
+        if found:
+            out.append(found)
+    return out
+
+
 def feed_items(body: str | None) -> list[str]:
     """Addresses of the items of an RSS or Atom feed: link text, link href, guid, enclosure, or any address in the item."""
     try:
         root = ET.fromstring((body or "").strip())
-    except ET.ParseError:
-        return []
+    except (ET.ParseError, ValueError):
+        return _loose_items(body or "")
     local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     out = []
     for item in root.iter():

@@ -15,23 +15,23 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = article.facts(_pages(spark, sf_dir))
+    f = article.facts(_pages(spark, sf_dir), only=["title_tag", "h1", "meta_title", "meta_lang"])
     return f.select("page_id", article.title(F.col("title_tag"), F.col("h1"), F.col("meta_title"), F.col("meta_lang")).alias("title"), article.h1_title(F.col("h1")).alias("h1"))
 
 
 def page_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article.facts(_pages(spark, sf_dir)).select("page_id", "meta_lang")
+    return article.facts(_pages(spark, sf_dir), only=["meta_lang"]).select("page_id", "meta_lang")
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors in order; of neighbours with one href the first."""
-    f = article.facts(_pages(spark, sf_dir)).select("page_id", F.posexplode("links").alias("pos", "l"))
+    f = article.facts(_pages(spark, sf_dir), only=["links"]).select("page_id", F.posexplode("links").alias("pos", "l"))
     before = F.lag("l.href").over(Window.partitionBy("page_id").orderBy("pos"))
     return f.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("l.href"))).select("page_id", "pos", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
 
 
 def page_links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = article.facts(_pages(spark, sf_dir)).select("page_id", F.explode("links").alias("l"))
+    f = article.facts(_pages(spark, sf_dir), only=["links"]).select("page_id", F.explode("links").alias("l"))
     return f.groupBy("page_id").agg(F.count_distinct("l.href").alias("n_links"))
 
 
@@ -50,12 +50,12 @@ def page_sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every page: title, language, words, length and the five top keywords."""
-    a = article.articles(_pages(spark, sf_dir))
+    a = article.articles(_pages(spark, sf_dir), only=["title", "language", "text", "keywords"])
     return a.select("page_id", "url", "title", "language", F.size(nlp.words(F.col("text"))).alias("n_words"), F.length("text").alias("n_chars"), F.slice("keywords", 1, 5).alias("keywords"))
 
 
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article.facts(_pages(spark, sf_dir)).select("page_id", "text", "top_tag")
+    return article.facts(_pages(spark, sf_dir), only=["text", "top_tag"]).select("page_id", "text", "top_tag")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article.to_json(article.articles(_pages(spark, sf_dir)))
+    return article.to_json(article.articles(_pages(spark, sf_dir), only=article.SHORT))
 
 
 def article_full_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article.to_json(article.articles(_pages(spark, sf_dir)), full=True)
+    return article.to_json(article.articles(_pages(spark, sf_dir), only=article.FULL), full=True)
 
 
 def article_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def article_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.page_categories(article.facts(_pages(spark, sf_dir)))
+    return source.page_categories(article.facts(_pages(spark, sf_dir), only=["links", "html"]))
 
 
 def _homes(pages: DataFrame) -> DataFrame:

@@ -48,15 +48,56 @@ def test_article(made):
 def test_empty_pages(made):
     for i in (2, 3):
         assert made[i]["title"] == "" and made[i]["text"] == "" and made[i]["authors"] == [] and made[i]["keywords"] == [] and made[i]["publish_date"] is None
+    assert (made[2]["is_parsed"], made[2]["download_state"]) == (True, 2) and (made[3]["is_parsed"], made[3]["download_state"]) == (False, 0)
+
+
+def test_no_page_ends_the_job(spark):
+    """Deep nesting, lone surrogates, dates out of range, a comment and tags that don't end."""
+    deep = [f"<body><{t}>" * 3000 + f"<p>{PARAGRAPH}</p>" for t in ("div", "span", "section", "b", "blockquote")]
+    odd = [
+        '<script type="application/ld+json">{"author": "\\ud800 Ann Lee", "datePublished": "0001-01-01T00:00:00+14:00"}</script><p>x &#xD800; y</p>',
+        "<p>" + "<" * 50_000, "<p>a <!-- never <b>", "<a " * 20_000, "<p 'x" * 3000, "text < 5 & <p>more > ok", "\x00<p>\x00</p>", '<meta name="date" content="99999999999999"><time datetime="9999-12-31T23:59:59-14:00">x</time>',
+    ]
+    pages = spark.createDataFrame(list(enumerate("http://a.com/x" for _ in deep + odd)), "page_id long, url string").join(spark.createDataFrame(list(enumerate(deep + odd)), "page_id long, html string"), "page_id")
+    rows = {r["page_id"]: r for r in article.articles(pages, only=[*article.FULL, "links"]).collect()}
+    assert len(rows) == len(deep + odd) and all("It was in the morning" in rows[i]["text"] for i in range(4))
+    assert rows[5]["authors"] == ["\ufffd Ann Lee"] or "Ann Lee" in rows[5]["authors"][0]
+    assert dom.text(dom.parse(odd[2])) == "a" and rows[12]["publish_date"] is None
+    assert article.nodes(pages.where("page_id < 2")).count() > 3000
+
+
+def test_index_and_columns_on_demand(spark):
+    pages = spark.createDataFrame([(1, "https://docks.example.com/2024/03/02/harbour", PAGE)], "page_id long, url string, html string")
+    every = article.articles(pages, only=list(article.COLUMNS)).first()
+    for some in (["keywords"], ["files", "language"], ["top_image", "authors", "publish_date", "movies", "title"]):
+        r = article.articles(pages, only=some).first()
+        assert all(r[c] == every[c] for c in some), some
+    plan = article.articles(pages, only=["title", "language", "text", "keywords"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    basic = article.articles(pages, article.Options(tokenizer=False), only=["keywords", "summary"]).first()
+    assert basic["keywords"] and basic["summary"].endswith(".")
+
+
+def test_tree_edits():
+    d = dom.parse("<div><p>a<i>b</i></p><ul><li>1</li><li>2</li><li>3</li></ul></div>")
+    assert dom.depth(d.find("ul")[0]) == 4 and dom.depth(d.find("li")[0]) == 1
+    dom.drop_tags(d, "p", frozenset({"i"}))
+    assert dom.serialise(d.find("div")[0]) == "<div><i>b</i><ul><li>1</li><li>2</li><li>3</li></ul></div>"
+    dom.drop_tags(d, "ul")
+    assert dom.serialise(d.find("div")[0].copy()) == "<div><i>b</i></div>"
 
 
 def test_json(spark):
     pages = spark.createDataFrame([(1, "https://docks.example.com/x", PAGE), (2, "", "")], "page_id long, url string, html string")
-    of = article.articles(pages)
+    of = article.articles(pages, only=[*article.FULL, "is_parsed"])
     short = {r["page_id"]: json.loads(r["json"]) for r in article.to_json(of).collect()}
     assert len(short[1]) == 27 and list(short[1]) == sorted(short[1]) and short[2]["publish_date"] is None and short[1]["publish_date"] == "2024-03-01T00:00:00Z"
     full = json.loads(article.to_json(of, full=True).where("page_id = 1").first()["json"])
-    assert set(short[1]) < set(full) and full["is_parsed"] is True
+    assert set(short[1]) < set(full) and full["is_parsed"] is True and len(full) == 44
+    assert full["html"] == PAGE and full["doc_html"].startswith("<html") and "<nav>" in full["doc_html"] and "<nav>" not in full["clean_doc_html"] and "It was in the morning" in full["top_node_html"]
+    assert "https://docks.example.com/" in full["categories"] and full["categories"] == sorted(full["categories"])
+    unread = article.articles(pages.selectExpr("page_id", "url", "CAST(NULL AS STRING) AS html"), only=article.FULL)
+    assert article.to_json(unread, full=True).count() == 0
     assert article.to_text(of).where("page_id = 1").first()["out"].startswith("Article Title: Harbour")
 
 
@@ -112,6 +153,12 @@ def test_body_prefers_the_text_to_the_links():
 def test_dates_and_names():
     assert article.parse_date("Aug 27, 2025") == datetime(2025, 8, 27, tzinfo=timezone.utc) and article.parse_date("2025/8/27") == datetime(2025, 8, 27, tzinfo=timezone.utc)
     assert article.parse_date("Tue, 05 Mar 2024 10:00:00 GMT").hour == 10 and article.parse_date("soon") is None
+    for text, want in {
+        "May 8, 2009 5:57:51 PM": (2009, 5, 8, 17, 57, 51), "oct 7, 1970": (1970, 10, 7), "12 Feb 2006, 19:17": (2006, 2, 12, 19, 17), "7 oct 1970": (1970, 10, 7), "2013-Feb-03": (2013, 2, 3), "Mon Jan 2 15:04:05 2006": (2006, 1, 2, 15, 4, 5),
+        "Monday, 02-Jan-2006 15:04:05 MST": (2006, 1, 2, 22, 4, 5), "4/8/2014 22:05": (2014, 4, 8, 22, 5), "2014.03.30": (2014, 3, 30), "1332151919": (2012, 3, 19, 10, 11, 59), "2009-08-12T22:15:09-07:00": (2009, 8, 13, 5, 15, 9), "September 17, 2012 at 10:09am PST": (2012, 9, 17, 18, 9), "June 2014": (2014, 6, 1),
+    }.items():
+        assert article.parse_date(text) == datetime(*want, tzinfo=timezone.utc), text
+    assert article.parse_date("0001-01-01T00:00:00+14:00") is None and article.parse_date("room 12 at 99:99") is None and article.parse_date("2024-13-45") is None
     assert article.byline("Von x | By Ann Lee, Bob Ray and Room 5") == ["Ann Lee", "Bob Ray"]
     assert article.clean_authors(["By Ann Lee", "ann lee", "Reuters", "- Bob"]) == ["Ann Lee", "Bob"]
     assert article.author_names([{"name": "A"}, "B", {"name": ["C", "D"]}]) == ["A", "B", "C", "D"]
@@ -173,6 +220,22 @@ def test_source_pipeline(spark):
     assert got["https://paper.com/story/5"]["title"] == "Five" and got["https://paper.com/story/1"]["title"] == ""  # feeds come first
 
 
+def test_feeds_that_are_no_xml():
+    body = "<rss><channel><item><title>a &nbsp; b</title><link>https://p.com/1</link></item><item><guid>https://p.com/2</guid></item><item><enclosure url='https://p.com/3?a=1&amp;b=2'></item><entry><link href='https://p.com/4'/></entry><item>see https://p.com/5 </item>"
+    assert source.feed_items(body) == ["https://p.com/1", "https://p.com/2", "https://p.com/3?a=1&b=2", "https://p.com/4", "https://p.com/5"]
+    assert source.feed_items(None) == [] and source.feed_items("no feed") == []
+
+
+def test_page_categories_fall_back_to_quoted_addresses(spark):
+    pages = spark.createDataFrame([
+        (1, "https://paper.com/x", '<a href="https://paper.com/sport">s</a><a href="https://paper.com/login">no</a><script>x = "https://paper.com/late"</script>'),
+        (2, "https://paper.com/y", '<a href="/relative">r</a><script>x = "https:\\/\\/paper.com\\/late"; y = "https://paper.com/a.css"; z = "https://other.com/z"; "https://paper.com/sport"</script>'), (3, "https://paper.com/z", None), (None, "https://paper.com/z", "<a href='https://paper.com/sport'>"),
+    ], "page_id long, url string, html string")
+    rows = [(r["page_id"], r["category"]) for r in source.page_categories(article.facts(pages, only=["links", "html"])).collect()]
+    by = {i: [c for k, c in rows if k == i] for i in (1, 2, 3, None)}
+    assert by == {1: ["https://paper.com/", "https://paper.com/sport"], 2: ["https://paper.com/", "https://paper.com/late", "https://paper.com/sport"], 3: ["https://paper.com/"], None: []}
+
+
 def test_candidates(spark):
     feeds = spark.createDataFrame([("s", f"https://p.com/{i}", i) for i in range(4)], "source_url string, url string, pos int")
     pages = spark.createDataFrame([("s", f"https://p.com/{i}", f"title {i}", i) for i in range(2, 7)], "source_url string, url string, title string, pos int")
@@ -203,3 +266,16 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/once").count() == 3
     streams.write(streams.indicators(landing, "html", ["page_id"]), f"{tmp_path}/ioc", f"{tmp_path}/c2").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/ioc").where("type = 'Email'").count() == 6
+
+
+def test_windows_drop_late_events(spark, tmp_path):
+    """Files come one after another; the watermark follows the latest time less the delay."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(0, 5), 1, "a", 1.0, ""), (2, at(0, 50), 1, "a", 2.0, ""), (3, at(0, 55), 1, "b", 4.0, "")], [(4, at(3, 0), 1, "a", 8.0, "")], [(5, at(0, 30), 1, "a", 16.0, ""), (6, at(2, 55), 1, "a", 32.0, "")], [(7, at(9, 0), 1, "a", 64.0, "")]]
+    got = f"{tmp_path}/out"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.write(streams.counts(streams.landing(spark, f"{tmp_path}/in", schema)), got, f"{tmp_path}/c").awaitTermination(60)
+    rows = {(r["start"].hour, r["event_type"]): (r["n"], r["total"]) for r in spark.read.parquet(got).collect()}
+    assert rows == {(0, "a"): (2, 3.0), (0, "b"): (1, 4.0), (2, "a"): (1, 32.0), (3, "a"): (1, 8.0)}
