@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import nlp, urls
 from siftmill.operators import article, source
+from siftmill.plans import text as texts
+from siftmill.plans import web
 from siftmill.sources.shared import spread
 
 
@@ -51,7 +53,7 @@ def page_sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every page: title, language, words, length and the five top keywords."""
     a = article.articles(_pages(spark, sf_dir), only=["title", "language", "text", "keywords"])
-    return a.select("page_id", "url", "title", "language", F.size(nlp.words(F.col("text"))).alias("n_words"), F.length("text").alias("n_chars"), F.slice("keywords", 1, 5).alias("keywords"))
+    return a.select("page_id", "url", "title", "language", F.size(nlp.words(F.col("text"))).alias("n_words"), F.length("text").alias("n_chars"), F.array_join(F.slice("keywords", 1, 5), " ").alias("keywords"))
 
 
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +91,12 @@ def source_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article candidates of every host, with the pages table as the web."""
-    pages = _pages(spark, sf_dir)
-    first = _homes(pages)
-    web = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("body")).union(first).select("url", F.lit(200).alias("status"), "body")
-    return source.build(first.select("source_url"), web)
+    """Article candidates of every host: pages with an even page_id come by a feed, the others by a link of a category page."""
+    root = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("/"))
+    pages = _pages(spark, sf_dir).select("page_id", root.alias("source_url"), F.col("url").alias("address"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("x"))
+    feeds = pages.where("page_id % 2 = 0").select("source_url", F.concat("source_url", F.lit("rss")).alias("url"), F.format_string("<rss><channel><item><title>an item</title><link>%s</link></item></channel></rss>", "x").alias("rss"))
+    listed = pages.where("page_id % 2 = 1").select("source_url", F.concat("source_url", F.lit("all")).alias("url"), F.format_string('<a href="%s">page %d</a>', "x", "page_id").alias("html"))
+    return source.candidates(source.feed_articles(feeds), source.category_articles(listed))
 
 
 QUERIES = {
@@ -132,3 +135,64 @@ ORACLES = {
       a AS (SELECT source_url, unnest(regexp_extract_all({_BODY}, '<a href="/([^"]*)">', 1)) AS w FROM h)
       SELECT DISTINCT source_url, source_url || replace(w, '&amp;', '&') AS url FROM a WHERE strlen(replace(w, '&amp;', '&')) BETWEEN 2 AND 19 AND NOT starts_with(w, '_') AND NOT regexp_matches(w, '[?#/]')""",
 }
+
+
+def _plain(x: str) -> str:
+    return _PLAIN.replace("{x}", x)
+
+
+def _stops(x: str) -> str:
+    """How many tokens of a text are stop words of the row's language."""
+    return f"len(list_filter(regexp_extract_all(lower({x}), '{nlp.TOKEN}'), lambda t: list_contains(words, t)))"
+
+
+# The gravity of these pages: a nav, an ad and one article with a heading and paragraphs, none of which has a link. Its p elements,
+# the article and (where there are few of them) the ad count their stop words, with the boosts for neighbours, for the article and
+# the body above them; the higher one is the page's body, and the page itself where nothing counts.
+_BODIES = f"""{texts._stop_sql()}, lists AS (SELECT lang, list(token) AS words FROM stop GROUP BY lang),
+h AS (SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, {_TITLE} AS title, replace(replace({_BODY}, '&copy;', '©'), '&middot;', '·') AS b FROM pages),
+e AS (SELECT h.*, words, regexp_extract(b, '(?s)<article>(.*?)</article>', 1) AS a, {_plain("regexp_extract(b, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} AS ad FROM h JOIN lists USING (lang)),
+p0 AS (SELECT page_id, words, unnest(p) AS p, unnest(range(len(p))) AS i, len(p) AS n_p FROM (SELECT page_id, words, string_split(regexp_replace(a, '(?s)^<h1>.*?</h1>', ''), '<p>')[2:] AS p FROM e)),
+p1 AS (SELECT page_id, i, n_p, {_stops(_plain("p"))} AS stop FROM p0),
+p2 AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) > 5 AS boosted FROM p1),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, sum(CASE WHEN boosted THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS k FROM p2 WHERE stop > 2),
+totals AS (SELECT page_id, sum(stop) AS inside, max(n_p) AS n_p, count(*) FILTER (WHERE stop > 2) AS kept FROM p1 GROUP BY page_id),
+a1 AS (SELECT e.*, coalesce(n_p, 0) AS n_p, coalesce(kept, 0) AS kept, {_stops(_plain("a"))} AS a_total, {_stops(_plain("a"))} - coalesce(inside, 0) AS a_stop, CASE WHEN coalesce(n_p, 0) + 1 < 5 THEN {_stops("ad")} ELSE 0 END AS ad_stop FROM e LEFT JOIN totals USING (page_id)),
+a2 AS (SELECT *, kept + CASE WHEN a_total > 2 THEN 1 ELSE 0 END + CASE WHEN ad_stop > 2 THEN 1 ELSE 0 END AS n FROM a1),
+g AS (SELECT page_id, CASE WHEN n > 15 AND n - place <= 0.25 * n THEN CASE WHEN pow(0.25 * n - (n - place), 2) > 40 THEN 5 ELSE -pow(0.25 * n - (n - place), 2) END WHEN boosted THEN 30.0 / k ELSE 0 END + stop AS up FROM p3 JOIN (SELECT page_id, n FROM a2) USING (page_id)),
+w AS (SELECT page_id, sum(up) AS up FROM g GROUP BY page_id),
+late AS (SELECT *, CASE WHEN n > 15 AND n - place <= 0.25 * n THEN CASE WHEN pow(0.25 * n - (n - place), 2) > 40 THEN 5 ELSE -pow(0.25 * n - (n - place), 2) END ELSE 0 END AS boost FROM (SELECT page_id, n, unnest([n - 1, n - 2]) AS place, unnest(['a', 'ad']) AS what FROM a2)),
+tops AS (SELECT a2.*, CASE WHEN w.up > 0.4 * w.up + CASE WHEN a_total > 2 THEN a_stop + (SELECT max(boost) FROM late WHERE late.page_id = a2.page_id AND what = 'a') ELSE 0 END + CASE WHEN ad_stop > 2 THEN ad_stop + (SELECT max(boost) FROM late WHERE late.page_id = a2.page_id AND what = 'ad') ELSE 0 END THEN 'article' ELSE 'body' END AS top_tag FROM a2 LEFT JOIN w USING (page_id)),
+bodies AS (SELECT page_id, url, lang, title, top_tag, CASE top_tag WHEN 'article' THEN {_plain("a")} ELSE {_plain("regexp_replace(regexp_extract(b, '(?s)<body>(.*)</body>', 1), '(?s)<nav>.*?</nav>', '', 'g')")} END AS text FROM tops)"""
+
+# keywords and summary of the bodies by the SQL of documents, which a query of that name hides
+_KEYWORDS = f"""documents AS (SELECT page_id AS doc_id, lang, title, text FROM bodies), {texts._keywords_sql(nlp.MAX_KEYWORDS).removeprefix(texts._stop_sql() + ", ")},
+c AS (SELECT doc_id, lang, lower(regexp_replace(token, '[^A-Za-z]', '', 'g')) AS keyword, max(score) AS score FROM kw GROUP BY ALL),
+f AS (SELECT doc_id, keyword, score FROM c ANTI JOIN stop ON stop.lang = c.lang AND stop.token = c.keyword WHERE length(keyword) > 3 AND keyword <> 'unk'),
+hw AS (SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, lang, regexp_replace(unnest(regexp_split_to_array(lower(title), '[ \\t\\n\\f\\r]+')), '[^a-z]', '', 'g') AS keyword FROM documents) x ANTI JOIN stop ON stop.lang = x.lang AND stop.token = x.keyword WHERE length(keyword) >= 3 AND doc_id IN (SELECT doc_id FROM f)),
+scored_kw AS (SELECT doc_id, keyword, CASE WHEN f.score IS NULL THEN 0.1 WHEN hw.keyword IS NOT NULL THEN f.score * 1.5 ELSE f.score END AS score FROM f FULL JOIN hw USING (doc_id, keyword)),
+ranked_kw AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS r FROM scored_kw),
+words AS (SELECT doc_id, string_agg(keyword, ' ' ORDER BY r) FILTER (WHERE r <= 5) AS five, string_agg(keyword, ' ' ORDER BY r) FILTER (WHERE r <= {nlp.MAX_KEYWORDS}) AS all_words FROM ranked_kw GROUP BY doc_id)"""
+
+ORACLES["article_text"] = f"WITH {_BODIES} SELECT page_id, text, top_tag FROM bodies"
+ORACLES["page_digest"] = f"""WITH {_BODIES}, {_KEYWORDS} SELECT page_id, url, title, lang AS language, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda x: x <> '')) AS INTEGER) AS n_words,
+  CAST(length(text) AS INTEGER) AS n_chars, coalesce(five, '') AS keywords FROM bodies LEFT JOIN words ON page_id = doc_id"""
+
+_SOURCE = f"lower(regexp_extract(url, '{web._P}', 1)) || '://' || {web._HOST} || '/'"
+# none of these pages has an absolute link or an address in quotes, so the root is their only category
+ORACLES["page_categories"] = f"SELECT page_id, {_SOURCE} AS category FROM pages"
+ORACLES["source_candidates"] = f"""WITH s AS (SELECT page_id, {_SOURCE} AS source_url FROM pages), cleaned AS (SELECT page_id, clean AS url FROM {web._clean_sql()}), {web._PARTS.replace("FROM pages", "FROM cleaned")},
+  found AS (SELECT source_url, p.url, min(CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END) AS n, min(CASE WHEN page_id % 2 = 1 THEN 'page ' || page_id END) AS text FROM p JOIN s USING (page_id) WHERE {web._LIKELY.replace("url", "p.url")} GROUP BY source_url, p.url),
+  ranked AS (SELECT source_url, url, CASE WHEN n = 0 THEN '' ELSE text END AS title, CAST(row_number() OVER (PARTITION BY source_url ORDER BY n, url) AS INTEGER) AS rank FROM found)
+  SELECT * FROM ranked WHERE rank <= 1000"""
+
+_SUMMARIES = f"""sums AS (WITH documents AS (SELECT page_id AS doc_id, lang, title, text FROM bodies), {texts._SCORES_SQL.removeprefix(texts._stop_sql() + ", ").replace("string_split(text, chr(10))[1] AS title", "title")}
+  SELECT doc_id, string_agg(sentence, ' ' ORDER BY idx) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS r FROM scored JOIN base USING (doc_id) WHERE length(title) > 0) WHERE r <= {nlp.MAX_SENTENCES} GROUP BY doc_id)"""
+# these pages name no authors, dates, images or description
+ORACLES["article_report"] = f"""WITH {_BODIES}, {_KEYWORDS}, {_SUMMARIES}
+  SELECT page_id, 'Article Title: ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Authors: []' || chr(10) || 'Publish Date: <nil>' || chr(10) || 'Top Image: ' || chr(10) || 'Meta Description: ' || chr(10)
+    || 'Keywords: [' || coalesce(all_words, '') || ']' || chr(10) || 'Summary: ' || coalesce(summary, '') || chr(10) || 'Text: ' || text AS out
+  FROM bodies LEFT JOIN words ON words.doc_id = page_id LEFT JOIN sums ON sums.doc_id = page_id"""
+# repeated siblings are the items of the one list and the paragraphs of the one article
+ORACLES["page_sibling_runs"] = f"""WITH c AS (SELECT page_id, {_BODY} AS b FROM pages), n AS (SELECT page_id, unnest(['li', 'p']) AS tag, unnest([len(regexp_extract_all(b, '<li>')), len(regexp_extract_all(b, '<p>'))]) - 1 AS n FROM c)
+  SELECT page_id, tag, CAST(n AS BIGINT) AS n FROM n WHERE n > 0"""
