@@ -28,6 +28,7 @@ ORACLES: dict[str, str] = {
     "quality_ablation": quality.ABLATION_SQL,
     "op5_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
+    "op7_jaccard_join": setjoin.SQL,
     "op9_warc": warc.SQL,
     "op10_suffix_dedup": suffixes.SQL,
 }

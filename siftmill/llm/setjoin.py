@@ -416,3 +416,15 @@ def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir))
+
+
+#: Exact, for small tables: all pairs of documents that share a gram.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(max(text)), '{textkit.WORD}') AS w FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {N}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {N - 1}, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a)
+SELECT a AS doc_id, (SELECT min(b) FROM reach r WHERE r.a = m.a) AS class_id, n_links FROM (SELECT a, count(*) AS n_links FROM ends GROUP BY a) m"""
