@@ -76,7 +76,7 @@ def ioc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ioc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ioc.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), "html", ["page_id"], types=["Domain", "Email", "URL"])
+    return ioc.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), "html", ["page_id"])
 
 
 # languages
@@ -217,7 +217,7 @@ ORACLES = {
     "ioc_csv": f"SELECT doc_id, string_agg(ioc || '|' || type, chr(10) ORDER BY type_ord, ioc) AS out FROM ({_ioc_sql()}) GROUP BY doc_id",
     "ioc_stats": f"SELECT doc_id, string_agg(type || ': ' || n, chr(10) ORDER BY type_ord) AS out FROM (SELECT doc_id, type, type_ord, count(*) AS n FROM ({_ioc_sql()}) GROUP BY ALL) GROUP BY doc_id",
     "ioc_table": f"SELECT doc_id, string_agg('# ' || type || chr(10) || part, chr(10) || chr(10) ORDER BY type_ord) AS out FROM (SELECT doc_id, type, type_ord, string_agg(ioc, chr(10) ORDER BY ioc) AS part FROM ({_ioc_sql()}) GROUP BY ALL) GROUP BY doc_id",
-    "ioc_pages": _ioc_sql("pages", "page_id", "html", ["Domain", "Email", "URL"]),
+    "ioc_pages": _ioc_sql("pages", "page_id", "html"),
     "lang_detect": f"{_evidence_sql()} SELECT doc_id, lang, round(probability, 9) AS probability FROM d",
     "lang_confusion": f"{_evidence_sql()} SELECT labelled, lang AS detected, count(*) AS n FROM d GROUP BY ALL",
     "lang_names": f"WITH names(code, name) AS (VALUES {_NAMES_SQL}) SELECT lang, name, n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) LEFT JOIN names ON lang = code",
