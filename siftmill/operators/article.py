@@ -498,7 +498,7 @@ def articles(pages: DataFrame, options: Options | None = None, only: Iterable[st
     f = facts(pages, options, _needed(names))
     if "categories" in names:
         f = cut(f)  # read twice
-        found = source.page_categories(f).groupBy("page_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+        found = source.page_categories(f, options.compat).groupBy("page_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
         f = f.join(found, "page_id", "left")
     has = set(f.columns)
     if {"title_tag", "h1", "meta_title"} <= has:

@@ -74,10 +74,10 @@ def categories(homes: DataFrame, options: BuildOptions | None = None) -> DataFra
     return first.withColumn("r", rank).where(F.col("r") <= options.limit_categories).select("source_url", "url")
 
 
-def page_categories(facts: DataFrame) -> DataFrame:
+def page_categories(facts: DataFrame, compat: bool = False) -> DataFrame:
     """(page_id, category): category links of pages, without stop chunks, and the root; each once, in order within a page.
 
-    Pages (page_id, url, links, html) without any take addresses in quotes anywhere in their html. Rows that
+    Pages (page_id, url, links, html) without any take addresses in quotes anywhere in their html (``compat``: see ``other_links``). Rows that
     share a page_id are one page; a null page_id has no rows.
     """
     pages = facts.where("page_id IS NOT NULL").select("page_id", F.col("url").alias("base"), "links", "html")
@@ -85,7 +85,7 @@ def page_categories(facts: DataFrame) -> DataFrame:
     p = urls.parsed(each, "href")
     good = p.where(urls.valid_category(F.col("u"), F.col("href")) & urls.no_stop_chunk(F.col("u"))).select("page_id", "base", "href")
     lacking = pages.join(good.select("page_id").distinct(), "page_id", "left_anti")
-    other = urls.parsed(other_links(lacking), "href").where(urls.valid_category(F.col("u"), F.col("href")) & urls.no_stop_chunk(F.col("u"))).select("page_id", "base", "href")
+    other = urls.parsed(other_links(lacking, compat), "href").where(urls.valid_category(F.col("u"), F.col("href")) & urls.no_stop_chunk(F.col("u"))).select("page_id", "base", "href")
     roots = pages.select("page_id", "base", F.lit("/").alias("href"))
     both = good.unionByName(other).unionByName(roots)
     both = both.withColumn("category", F.when(F.col("base") == "", F.col("href")).otherwise(urls.prepare(F.col("href"), F.col("base"))))
@@ -93,9 +93,13 @@ def page_categories(facts: DataFrame) -> DataFrame:
     return lists.select("page_id", F.explode("c").alias("category"))
 
 
-def other_links(pages: DataFrame) -> DataFrame:
-    """(page_id, base, href): addresses in quotes anywhere in pages (page_id, base, html), of the page's own brand, no assets, one or two chunks."""
-    found = pages.select("page_id", "base", F.explode(F.regexp_extract_all("html", F.lit(r'"(https?://[^"]*)"'), F.lit(1))).alias("x")).withColumn("href", F.replace("x", F.lit("\\/"), F.lit("/")))
+def other_links(pages: DataFrame, compat: bool = False) -> DataFrame:
+    """(page_id, base, href): addresses in quotes anywhere in pages (page_id, base, html), of the page's own brand, no assets, one or two chunks.
+
+    Slashes may be escaped as in JSON; with ``compat`` those after the scheme may not.
+    """
+    pattern = r'"(https?://[^"]*)"' if compat else r'"(https?:(?:\\?/){2}[^"]*)"'
+    found = pages.select("page_id", "base", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("x")).withColumn("href", F.replace("x", F.lit("\\/"), F.lit("/")))
     size = F.size(urls.chunks(urls.path(F.col("href"))))
     return found.where((urls.naive_domain(F.col("href")) == urls.naive_domain(F.col("base"))) & ~urls.is_asset(F.col("href")) & size.between(1, 2)).select("page_id", "base", "href").distinct()
 

@@ -234,6 +234,8 @@ def test_page_categories_fall_back_to_quoted_addresses(spark):
     rows = [(r["page_id"], r["category"]) for r in source.page_categories(article.facts(pages, only=["links", "html"])).collect()]
     by = {i: [c for k, c in rows if k == i] for i in (1, 2, 3, None)}
     assert by == {1: ["https://paper.com/", "https://paper.com/sport"], 2: ["https://paper.com/", "https://paper.com/late", "https://paper.com/sport"], 3: ["https://paper.com/"], None: []}
+    as_it_was = source.page_categories(article.facts(pages, only=["links", "html"]), compat=True).where("page_id = 2")
+    assert [r["category"] for r in as_it_was.collect()] == ["https://paper.com/", "https://paper.com/sport"]
 
 
 def test_candidates(spark):
