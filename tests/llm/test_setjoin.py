@@ -88,6 +88,74 @@ def test_a_large_group_of_alike_sets_goes_to_blocks_whole(spark, monkeypatch):
     assert not set(got) - set(want) and len(got) >= 0.98 * len(want)
 
 
+def test_links_of_a_large_group_are_counted_not_listed(spark, monkeypatch):
+    """n alike sets make about n * n / 2 links; no step may hold a row for each."""
+    monkeypatch.setattr(setjoin, "UNIT", 40)
+    monkeypatch.setattr(setjoin, "LIMIT", 20)
+    base = prose(78, 200)
+    docs = [(i, edited(base, 0.02, i), "en", "s", 1) for i in range(200)] + [(300 + i, edited(base, 0.02, 5), "en", "s", 1) for i in range(3)]
+    links = brute(docs)
+    assert len(links) > 15000
+    most, cut = [0], setjoin.cut
+
+    def counted(df):
+        out = cut(df)
+        if "path" not in out.columns:  # buckets are dealt to blocks
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "cut", counted)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in setjoin.joined(frame(spark, docs)).collect()}
+    want = classes(docs, links)
+    assert max(most) < 20 * len(docs)
+    assert {d: c for d, (c, _) in got.items()} == {d: c for d, (c, _) in want.items()}
+    assert all(n <= want[d][1] for d, (_, n) in got.items()) and sum(n for _, n in got.values()) >= 0.98 * sum(n for _, n in want.values())
+
+
+def test_common_grams_and_filters_against_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, size, replace=False)) for size in rng.integers(1, 200, 60).tolist()]
+    folded = [np.unique((g >> np.uint64(32)).astype(np.uint32)) for g in sets]
+    both = np.array([[len(np.intersect1d(x, y)) for x in folded] for y in folded])
+    for dense in (1, 16, 1000):
+        monkeypatch.setattr(setjoin, "DENSE", dense)
+        assert (setjoin._common(folded[:25], folded) == both[:, :25]).all()
+    size = np.array([len(g) for g in sets])
+    row = np.repeat(np.arange(60), size)
+    bits = setjoin._bitmap(np.concatenate(sets), row, 60).view(np.uint64)
+    a, b = np.triu_indices(60, 1)
+    jaccard = both[a, b] / (size[a] + size[b] - both[a, b])
+    may = setjoin._may(a, b, bits, size, 0.3)
+    assert set(np.flatnonzero(jaccard >= 0.3)) <= set(may.tolist()) and len(may) < len(a)
+
+
+def test_sets_of_a_key_are_compared_once_in_pieces(monkeypatch):
+    monkeypatch.setattr(setjoin, "UNIT", 3)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, 25)).astype(np.uint32) for _ in range(30)]
+    own = np.arange(30) < 20
+    ids, weight = np.arange(30), np.arange(30) % 3 + 1
+    other = np.where(own, 7, 7 + (np.arange(30) > 24))
+    batch = pa.record_batch(
+        [pa.array(np.zeros(30, np.int64)), pa.array(own), pa.array(ids), pa.array(np.where(own, 7, other)), pa.array(np.full(30, 7)), pa.array(weight), pa.array(np.ones(30, np.int64)), pa.array([g.tobytes() for g in sets], pa.binary())],
+        ["key", "own", "doc_id", "group", "other", "weight", "runs", "grams"],
+    )
+    want = {(i, j) for j in range(30) for i in range(min(j, 20)) if len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))}
+    listed = pa.Table.from_batches(setjoin._exact(iter([batch]), 0.4, True)).to_pylist()
+    got = [(r["a"], r["b"]) for r in listed if r["kind"] == setjoin.PAIR]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    counted = pa.Table.from_batches(setjoin._exact(iter([batch]), 0.4, False)).to_pylist()
+    links = np.zeros(30, int)
+    for r in counted:
+        if r["kind"] == setjoin.LINKS:
+            links[r["a"]] += r["n"]
+    assert links.tolist() == [sum(weight[j if i == d else i] for i, j in want if d in (i, j)) for d in range(30)]
+    assert sum(r["n"] for r in counted if r["kind"] == setjoin.MET) == sum(j > 24 for _, j in want)
+    edges = {(r["a"], r["b"]) for r in counted if r["kind"] == setjoin.EDGE}
+    assert {d: c for d, (c, _) in classes([], edges).items()} == {d: c for d, (c, _) in classes([], want).items()}
+
+
 def test_recall_on_short_documents(spark):
     """Pairs of few grams, a third of them or fewer changed at one end."""
     docs = []
