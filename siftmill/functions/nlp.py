@@ -66,8 +66,8 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w \t\n\x0b\f\r]|_")
 _CJK_TOKEN = re.compile(CJK_TOKEN)
 _ENDS, _SPACES, _NO_LETTERS = re.compile("[.!?]+"), re.compile(r"[ \t\n\x0b\f\r]+"), re.compile("[^A-Za-z]")
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-#: Bytes of text that a batch of results stands for.
-_BYTES = 1 << 24
+#: Bytes of text, and rows, that are Python objects at a time, however large Spark's batches are.
+_BYTES, _ROWS = 1 << 20, 256
 
 
 def tokens_of(text: str, lang: str | None = None) -> list[str]:
@@ -176,6 +176,20 @@ def basic_summary_of(text: str, keywords: list[str], top: int = MAX_SENTENCES) -
     return (out if out.endswith(".") else f"{out}.") if pieces else None
 
 
+def slices(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows with up to _BYTES bytes of strings, or one row, and _ROWS rows."""
+    n = len(columns[0])
+    sizes = [pc.fill_null(pc.cast(pc.binary_length(c), pa.int64()), 0).to_numpy(zero_copy_only=False) for c in columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    ends = sum(sizes).cumsum() if sizes else []
+    start = 0
+    while start < n:
+        before = ends[start - 1] if sizes and start else 0
+        stop = int(ends.searchsorted(before + _BYTES, "right")) if sizes else n
+        stop = min(max(stop, start + 1), start + _ROWS, n)
+        yield start, stop - start
+        start = stop
+
+
 def _each(df: DataFrame, key: str, columns: list[str], ddl: str, rows: Callable[..., list[tuple]]) -> DataFrame:
     """(key, ddl...): the rows that ``rows`` makes of the columns' values, for each row of df."""
     kind = dict(df.select(key).dtypes)[key]
@@ -184,24 +198,17 @@ def _each(df: DataFrame, key: str, columns: list[str], ddl: str, rows: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            owner: list[int] = []
-            seen = 0
-
-            def made() -> pa.RecordBatch:
-                values = list(zip(*out, strict=True)) if out else [[]] * len(types)
-                return pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], [key, *names])
-
-            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                new = rows(*values)
-                out += new
-                owner += [i] * len(new)
-                seen += sum(len(v) for v in values if isinstance(v, str))
-                if seen > _BYTES:
-                    yield made()
-                    out, owner, seen = [], [], 0
-            if out:
-                yield made()
+            for start, length in slices(batch.columns[1:]):
+                part = batch.slice(start, length)
+                out: list[tuple] = []
+                owner: list[int] = []
+                for i, values in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)):
+                    new = rows(*values)
+                    out += new
+                    owner += [i] * len(new)
+                if out:
+                    made = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)]
+                    yield pa.record_batch([part.column(0).take(pa.array(owner, pa.int64())), *made], [key, *names])
 
     return df.select(F.col(key), *[F.col(c) for c in columns]).mapInArrow(run, f"`{key}` {kind}, {ddl}")
 

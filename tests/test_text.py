@@ -1,4 +1,5 @@
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,13 @@ def test_nothing_of_the_text_is_shuffled(spark):
     df = spark.createDataFrame([(1, "t", "x", "en")], "id int, title string, text string, lang string")
     for out in (nlp.keywords(df, "id", "text", "lang"), nlp.summary(df, "id", "title", "text", "lang"), nlp.sentence_scores(df, "id", "title", "text", "lang"), nlp.stopword_stats(df, "id", "text", "lang")):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_are_python_objects_at_a_time(spark):
+    """Slices hold up to _BYTES of strings, or one row, and _ROWS rows; every row of a batch has its results."""
+    cut = list(nlp.slices([pa.array(["x" * (nlp._BYTES // 2), None, "y" * (nlp._BYTES // 2), "z" * (3 * nlp._BYTES), "a"] + ["é"] * 1000), pa.array([1] * 1005)]))
+    assert cut == [(0, 3), (3, 1), (4, 256), (260, 256), (516, 256), (772, 233)] and list(nlp.slices([pa.array([], pa.string())])) == []
+    text = "The river was calm. " + "It ran past the old mill and on to the sea" * 1000
+    docs = spark.range(0, 400, 1, 1).select("id", F.lit("A river").alias("title"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    scores = nlp.sentence_scores(docs, "id", "title", "text", "lang")
+    assert [tuple(r) for r in scores.groupBy("id").count().groupBy("count").count().collect()] == [(2, 400)]
