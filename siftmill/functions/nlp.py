@@ -274,7 +274,9 @@ def digest(title: Column, text: Column, lang: Column, k: int = MAX_KEYWORDS, top
         return {"keywords": [w for w, _ in ranked[:k]], "scores": ranked, "summary": short or ""}
 
     def run(h: pa.Array, t: pa.Array, c: pa.Array, h_again: pa.Array, c_again: pa.Array) -> pa.Array:
-        return pa.array([one(*x) for x in zip(h.to_pylist(), pc.fill_null(t, "").to_pylist(), c.to_pylist(), strict=True)], _DIGEST_ARROW)
+        given = (h, pc.fill_null(t, ""), c)
+        made = [pa.array([one(*x) for x in zip(*(x.slice(*at).to_pylist() for x in given), strict=True)], _DIGEST_ARROW) for at in slices([h, t])]
+        return pa.concat_arrays(made) if made else pa.array([], _DIGEST_ARROW)
 
     run.__annotations__ = dict.fromkeys(["h", "t", "c", "h_again", "c_again", "return"], pa.Array)
     # Title and language go in twice, as what is used twice is not inlined: a call with lambdas in its arguments is not

@@ -360,8 +360,8 @@ def facts(pages: DataFrame, options: Options | None = None, only: Iterable[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = [{"page_id": r["page_id"], "url": r["url"] or ""} | page_facts(r["url"], r["html"], options, wanted) for r in batch.slice(i, 256).to_pylist()]
+            for at in nlp.slices(batch.columns):
+                rows = [{"page_id": r["page_id"], "url": r["url"] or ""} | page_facts(r["url"], r["html"], options, wanted) for r in batch.slice(*at).to_pylist()]
                 try:
                     table = pa.Table.from_pylist(rows, schema)
                 except UnicodeEncodeError:
